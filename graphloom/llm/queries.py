@@ -16,6 +16,27 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.jaccard import jaccard_links
+
+    got = jaccard_links(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.quality import score
+
+    got = score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return got.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.decontaminate import decontaminate
+
+    got = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", (F.col("_n_items") > 0).alias("contaminated"), F.col("_item").alias("item_id"), F.col("_coverage").alias("coverage"), F.col("_n_items").alias("n_items"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.linededup import dedup_lines
 
@@ -29,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op7_line_dedup": op7_line_dedup, "op10_packing": op10_packing}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination, "op7_line_dedup": op7_line_dedup, "op10_packing": op10_packing}
 
 LINE_SQL = """
 WITH l AS (
