@@ -138,7 +138,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", least: int = 20, copies: i
     nor lose lines; repeated rows of one key are one document and keep or lose alike.
     """
     lose = stash(repeated_lines(docs, key, least, copies, log_bits), "drops")
-    joined = docs.join(lose.select(F.col(key).alias("_key"), F.col("lines").alias("_lines")), F.col(key) == F.col("_key"), "left").drop("_key")
+    # one plan at every size: the list of drops grows with the corpus
+    lose = lose.select(F.col(key).alias("_key"), F.col("lines").alias("_lines")).hint("merge")
+    joined = docs.join(lose, F.col(key) == F.col("_key"), "left").drop("_key")
     schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
     at = docs.columns.index("text")
 
