@@ -14,6 +14,7 @@ not grow with the corpus: a fuller filter suspects more lines, and stays right.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,13 +76,16 @@ def twice_filter(docs: DataFrame, least: int, log_bits: int) -> bytes:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
         for b in batches:
-            for text in b.column(0):
-                if found := doc_digests(text.as_py(), least):
-                    at = probes(list(found), log_bits)
-                    again = np.logical_and.reduce([_has(once, p) for p in at])
-                    for p in at:
-                        _set(twice, p[again])
-                        _set(once, p)
+            lines = [x for text in b.column(0) for x in doc_digests(text.as_py(), least)]
+            if lines:
+                at = probes(lines, log_bits)
+                again = np.logical_and.reduce([_has(once, p) for p in at])
+                n = Counter(lines)
+                if len(n) < len(lines):  # seen twice in this batch
+                    again |= np.fromiter((n[x] > 1 for x in lines), bool, len(lines))
+                for p in at:
+                    _set(twice, p[again])
+                    _set(once, p)
         for i in range(0, size, seg):
             o, t = once[i : i + seg], twice[i : i + seg]
             if o.any():
@@ -114,13 +118,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", least: int = 20, copies
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits.value, np.uint8)
         for b in batches:
-            rows, lines = [], []
-            for i, text in enumerate(b.column(1)):
-                if found := list(doc_digests(text.as_py(), least)):
-                    hit = np.logical_and.reduce([_has(table, p) for p in probes(found, log_bits)])
-                    got = [found[k] for k in np.flatnonzero(hit)]
-                    rows += [i] * len(got)
-                    lines += got
+            found = [(i, x) for i, text in enumerate(b.column(1)) for x in doc_digests(text.as_py(), least)]
+            hit = np.logical_and.reduce([_has(table, p) for p in probes([x for _, x in found], log_bits)]) if found else []
+            rows, lines = [found[k][0] for k in np.flatnonzero(hit)], [found[k][1] for k in np.flatnonzero(hit)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(lines, pa.binary())], names=schema.names)
 
     seen = stash(docs.select(key, "text").where(F.col(key).isNotNull()).mapInArrow(suspects, schema), "suspects")
