@@ -44,13 +44,21 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.substrings import remove_repeats
+
+    got = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return got.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination, "op7_line_dedup": op7_line_dedup, "op10_packing": op10_packing}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination, "op7_line_dedup": op7_line_dedup, "op9_substrings": op9_substrings, "op10_packing": op10_packing}
 
 LINE_SQL = """
 WITH l AS (
