@@ -23,6 +23,13 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.pivots import near_vectors
+
+    got = near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return got.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.quality import score
 
@@ -58,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination, "op7_line_dedup": op7_line_dedup, "op9_substrings": op9_substrings, "op10_packing": op10_packing}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_near_vectors": op2_near_vectors, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination, "op7_line_dedup": op7_line_dedup, "op9_substrings": op9_substrings, "op10_packing": op10_packing}
 
 LINE_SQL = """
 WITH l AS (
