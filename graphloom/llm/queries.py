@@ -30,6 +30,14 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.chat import format_conversations, read_back
+
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.quality import score
 
@@ -65,7 +73,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_near_vectors": op2_near_vectors, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination, "op7_line_dedup": op7_line_dedup, "op9_substrings": op9_substrings, "op10_packing": op10_packing}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_near_vectors": op2_near_vectors, "op5_chat_format": op5_chat_format, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination, "op7_line_dedup": op7_line_dedup, "op9_substrings": op9_substrings, "op10_packing": op10_packing}
 
 LINE_SQL = """
 WITH l AS (
@@ -79,4 +87,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id"""
 
-ORACLE_SQL = {"op7_line_dedup": LINE_SQL}
+CHAT_SQL = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, {esc_role} AS erole, {esc_text} AS etext FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(erole) + length(etext) + 33)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+_CONTROL = r"<(\\*\|im_(?:start|sep|end)\|>|\\*s>|\\*/s>|\\*<SYS>>|\\*</SYS>>)"
+_SQUARE = r"\[(\\*/?INST\])"
+
+
+def _escaped(c: str) -> str:
+    inner = f"regexp_replace({c}, '{_CONTROL}', '<' || chr(92) || chr(92) || chr(92) || '1', 'g')"
+    return f"regexp_replace({inner}, '{_SQUARE}', '[' || chr(92) || chr(92) || chr(92) || '1', 'g')"
+
+
+CHAT_SQL = CHAT_SQL.replace("{esc_role}", _escaped("role")).replace("{esc_text}", _escaped("text"))
+
+ORACLE_SQL = {"op5_chat_format": CHAT_SQL, "op7_line_dedup": LINE_SQL}
