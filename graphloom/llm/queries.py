@@ -30,6 +30,12 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.chat import format_conversations, read_back
 
@@ -73,7 +79,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_near_vectors": op2_near_vectors, "op5_chat_format": op5_chat_format, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination, "op7_line_dedup": op7_line_dedup, "op9_substrings": op9_substrings, "op10_packing": op10_packing}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_near_vectors": op2_near_vectors, "op4_secrets": op4_secrets, "op5_chat_format": op5_chat_format, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination, "op7_line_dedup": op7_line_dedup, "op9_substrings": op9_substrings, "op10_packing": op10_packing}
 
 LINE_SQL = """
 WITH l AS (
