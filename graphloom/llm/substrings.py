@@ -12,7 +12,9 @@ have the same phrase suffix and the same continuation of the parse. Only equalit
   - parse: contexts that occur twice repeat in every one of their windows;
   - dictionary: contexts that share the ``seed`` bytes behind their trigger with another
     one are the only ones that can share a single window. One occurrence of each stands
-    for all, and its phrase suffixes are matched by fingerprints of their windows.
+    for all. Its windows fall into bands by their distance to the trigger, all windows of
+    a band hold the same long stretch, and only those whose stretch another context has
+    too are matched by their own fingerprints.
 Bulk copies thus never leave the parse, whose size is the text's divided by about half
 of ``reach``. All groupings are counts with map-side combine; no group is collected.
 """
@@ -41,6 +43,10 @@ def shape(length: int) -> tuple[int, int, int]:
     return reach, seed, min(16, seed)
 
 
+def band_width(length: int) -> int:
+    return max(1, shape(length)[0] // 8)
+
+
 def row_id(key: str) -> Column:
     """A row's name, from its key and text: equal rows are equal documents."""
     return F.xxhash64(F.col(key), F.col("text"))
@@ -48,7 +54,7 @@ def row_id(key: str) -> Column:
 
 def phrases(data: np.ndarray, off: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """Phrases of texts laid end to end: row, s0 (first window, in the text), n (windows),
-    seed and context fingerprints."""
+    d (distance from the first window to the trigger), seed and context fingerprints."""
     reach, seed, gram = shape(length)
     count = np.maximum(np.diff(off) - length + 1, 0)
     total = int(count.sum())
@@ -72,11 +78,21 @@ def phrases(data: np.ndarray, off: np.ndarray, length: int) -> dict[str, np.ndar
     n = np.diff(np.append(first, total))
     s0, t, row = s[first], t[first], row[first]
     return {
-        "row": row, "s0": (s0 - off[row]).astype(np.int32), "n": n.astype(np.int32),
+        "row": row, "s0": (s0 - off[row]).astype(np.int32), "n": n.astype(np.int32), "d": (t - s0).astype(np.int32),
         "seed": tk.span_hash(pre, t, t + seed).view(np.int64), "ctx": tk.span_hash(pre, s0, s0 + n - 1 + length).view(np.int64),
     }
 
 
+def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.StructArray]]:
+    """(bytes, structs) of rows (rid, text, structs); repeated rows, which are side by side, once."""
+    last = None
+    for b in batches:
+        for rid, text, reps in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            if rid != last:
+                last = rid
+                yield np.frombuffer(text.as_buffer(), np.uint8), reps.values
+
+
 def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     """Flags of the bytes in windows that begin at ``starts``."""
     d = np.zeros(n + 1, np.int32)
@@ -102,37 +118,60 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH) -
             rid = b.column(0).to_numpy()
             for i, j in tk.slices(off):
                 if p := phrases(data[off[i] : off[j]], off[i : j + 1] - off[i], length):
-                    yield pa.RecordBatch.from_arrays([pa.array(rid[i + p["row"]]), *(pa.array(p[k]) for k in ("s0", "n", "seed", "ctx"))], names=["rid", "s0", "n", "seed", "ctx"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rid[i + p["row"]]), *(pa.array(p[k]) for k in ("s0", "n", "d", "seed", "ctx"))], names=["rid", "s0", "n", "d", "seed", "ctx"])
 
-    occ = stash(named.select("rid", "text").mapInArrow(parse, "rid long, s0 int, n int, seed long, ctx long"), "parse")
+    occ = stash(named.select("rid", "text").mapInArrow(parse, "rid long, s0 int, n int, d int, seed long, ctx long"), "parse")
     shared = occ.groupBy("seed").agg(F.count("*").alias("c"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("c > 1")
     active = stash(occ.join(shared.select("seed", (F.col("lo") != F.col("hi")).alias("mixed")).hint("merge"), "seed"), "active")
     discard(occ)
-    classes = stash(active.groupBy("seed", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("rid", "s0", "n")).alias("at"), F.first("mixed").alias("mixed")), "dictionary")
+    classes = stash(active.groupBy("seed", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("rid", "s0", "n", "d")).alias("at"), F.first("mixed").alias("mixed")), "dictionary")
+
+    # of contexts that share a seed with others, one occurrence of each: bands, then windows
+    width = band_width(length)
+    reps = classes.where("mixed").select(F.col("at.rid").alias("rid"), "at.s0", "at.n", "at.d", "seed", "ctx")
+
+    def spots(reps: DataFrame) -> DataFrame:
+        each = reps.groupBy("rid").agg(F.collect_list(F.struct(*(c for c in reps.columns if c != "rid"))).alias("reps"))
+        return named.select("rid", "text").join(each.hint("merge"), "rid")
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, reps in texts(batches):
+            pre = tk.prefix(data)
+            s0, n, d = (reps.field(i).to_numpy().astype(np.int64) for i in range(3))
+            low = (d - n + 1) // width
+            count = d // width - low + 1
+            k = np.repeat(np.arange(len(n)), count)
+            band = low[k] + np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
+            s = (s0 + d)[k] - width * band
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(reps.field(3).to_numpy()[k]), pa.array(reps.field(4).to_numpy()[k]), pa.array(band.astype(np.int16)), pa.array(tk.span_hash(pre, s, s + length - width + 1).view(np.int64))],
+                names=["seed", "ctx", "band", "stretch"],
+            )
 
-    # windows of the contexts that share a seed with others, one occurrence of each
-    reps = classes.where("mixed").groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list(F.struct("at.s0", "at.n", "seed", "ctx")).alias("reps"))
-    spots = named.select("rid", "text").join(reps.hint("merge"), "rid")
+    cut_up = stash(spots(reps).mapInArrow(bands, "seed long, ctx long, band short, stretch long"), "bands")
+    met = cut_up.groupBy("seed", "band", "stretch").agg(F.count("*").alias("m")).where("m > 1").select("seed", "band", "stretch")
+    live = cut_up.join(met.hint("merge"), ["seed", "band", "stretch"]).groupBy("seed", "ctx").agg(F.collect_set("band").alias("bands"))
+    reps = stash(reps.join(live.hint("merge"), ["seed", "ctx"]).select("rid", "s0", "n", "d", "seed", "ctx", "bands"), "live")
+    discard(cut_up)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
-            for rid, text, reps in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                if rid == last:  # a repeated row
-                    continue
-                last = rid
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                pre, reps = tk.prefix(data), reps.values
-                s0, n = reps.field(0).to_numpy().astype(np.int64), reps.field(1).to_numpy().astype(np.int64)
-                k = np.repeat(np.arange(len(n)), n)
-                a = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
-                s = s0[k] + a
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(reps.field(2).to_numpy()[k]), pa.array(reps.field(3).to_numpy()[k]), pa.array(a.astype(np.int16)), pa.array(tk.span_hash(pre, s, s + length).view(np.int64))],
-                    names=["seed", "ctx", "a", "w"],
-                )
-
-    fine = stash(spots.mapInArrow(windows, "seed long, ctx long, a short, w long"), "windows")
+        for data, reps in texts(batches):
+            pre = tk.prefix(data)
+            s0, n, d = (reps.field(i).to_numpy().astype(np.int64) for i in range(3))
+            k = np.repeat(np.arange(len(n)), n)
+            a = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+            on = reps.field(5)
+            alive = np.zeros((len(n), int(d.max()) // width + 1), bool)
+            alive[np.repeat(np.arange(len(n)), on.value_lengths().to_numpy()), on.flatten().to_numpy()] = True
+            use = alive[k, (d[k] - a) // width]
+            k, a = k[use], a[use]
+            s = s0[k] + a
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(reps.field(3).to_numpy()[k]), pa.array(reps.field(4).to_numpy()[k]), pa.array(a.astype(np.int16)), pa.array(tk.span_hash(pre, s, s + length).view(np.int64))],
+                names=["seed", "ctx", "a", "w"],
+            )
+
+    fine = stash(spots(reps).mapInArrow(windows, "seed long, ctx long, a short, w long"), "windows")
     twice = fine.groupBy("seed", "w").agg(F.count("*").alias("m")).where("m > 1").select("seed", "w")
     some = fine.join(twice.hint("merge"), ["seed", "w"]).groupBy("seed", "ctx").agg(F.collect_set("a").alias("a"))
     found = classes.join(some, ["seed", "ctx"], "left").where("c > 1 or a is not null").select("seed", "ctx", F.when(F.col("c") == 1, F.col("a")).alias("a"))
