@@ -30,6 +30,18 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.pii import KINDS, find_pii
+
+    got = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(c: str):
+        return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return got.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.secrets import find_secrets
 
@@ -79,7 +91,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_near_vectors": op2_near_vectors, "op4_secrets": op4_secrets, "op5_chat_format": op5_chat_format, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination, "op7_line_dedup": op7_line_dedup, "op9_substrings": op9_substrings, "op10_packing": op10_packing}
+QUERIES = {"op1_jaccard_join": op1_jaccard_join, "op2_near_vectors": op2_near_vectors, "op3_pii": op3_pii, "op4_secrets": op4_secrets, "op5_chat_format": op5_chat_format, "op6_quality": op6_quality, "op8_decontamination": op8_decontamination, "op7_line_dedup": op7_line_dedup, "op9_substrings": op9_substrings, "op10_packing": op10_packing}
 
 LINE_SQL = """
 WITH l AS (
