@@ -4,7 +4,8 @@ Documents are sets of word shingles; equal sets are one class. In each run every
 picks a few of its tokens: those whose run-specific hash is below 1 / (threshold * size),
 so that two sets of the wanted similarity share a pick more often than not, and
 dissimilar ones hardly ever. Sets with a shared pick meet in a bucket. A small bucket
-is brute-forced; a large one is split again by second picks. Buckets that stay large
+is brute-forced, by 64-byte sketches first, which only rule out pairs far below the
+threshold; a large one is split again by second picks. Buckets that stay large
 after two picks hold sets that are alike almost throughout: they are joined into dense
 groups, compared in pairs of blocks. ``runs`` repetitions give the target recall: a pair
 at the threshold meets in one run with probability 1 - 1/e, so eight runs find 99.9 %.
@@ -31,6 +32,7 @@ from graphloom.llm.common import components, groups, prepare, stash
 
 RUNS = 8
 SMALL = 128  # sets of a brute-forced bucket, at most
+BINS = 64  # bytes of a set's sketch
 BLOCK = 384  # sets of a block of a dense group, on average
 
 _rng = np.random.default_rng(20240229)
@@ -62,6 +64,34 @@ def picks(u: np.ndarray, by: np.ndarray, runs: int, rate: float) -> list[int]:
     return out
 
 
+_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(58)
+
+
+def sketch(u: np.ndarray) -> bytes:
+    """One byte of the least hash in each of ``BINS`` ranges; 0 where there is none."""
+    if not len(u):
+        return bytes(BINS)
+    at = np.minimum(np.searchsorted(u, _EDGES), len(u) - 1)
+    got = u[at]
+    has = (got >> np.uint64(58)) == np.arange(BINS, dtype=np.uint64)
+    return np.where(has, 1 + tk.mix(got) % np.uint64(255), 0).astype(np.uint8).tobytes()
+
+
+def likely(sketches: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows with a partner whose sketch doesn't rule out the threshold: five standard
+    deviations below it are let through, so a link is lost with probability 3e-7."""
+    same = np.zeros((len(sketches),) * 2, np.int16)
+    both = np.zeros_like(same)
+    for k in range(BINS):
+        c = sketches[:, k]
+        some = c > 0
+        same += (c[:, None] == c[None, :]) & some[:, None]
+        both += some[:, None] | some[None, :]
+    ok = same >= threshold * both - 5 * np.sqrt(threshold * (1 - threshold) * both)
+    np.fill_diagonal(ok, False)
+    return np.flatnonzero(ok.any(1))
+
+
 def overlap(members: list[np.ndarray]) -> np.ndarray:
     """Pairwise intersection sizes."""
     m = len(members)
@@ -145,20 +175,21 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
     """
     prepare(docs.sparkSession)
     kind = docs.schema[key].dataType
-    schema = T.StructType().add(key, kind).add("sid", "binary").add("first", T.ArrayType(T.LongType())).add("second", T.ArrayType(T.LongType()))
+    schema = T.StructType().add(key, kind).add("sid", "binary").add("first", T.ArrayType(T.LongType())).add("second", T.ArrayType(T.LongType())).add("sketch", "binary")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sid, one, two = [], [], []
+            sid, one, two, small = [], [], [], []
             for u in sets(b.column(1), n):
                 sid.append(set_id(u))
+                small.append(sketch(u))
                 one.append(picks(u, FIRST, runs, 1 / threshold) if len(u) else [])
                 two.append(picks(u, SECOND, runs, 2 / threshold) if len(u) else [])
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sid, pa.binary()), pa.array(one, lists), pa.array(two, lists)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sid, pa.binary()), pa.array(one, lists), pa.array(two, lists), pa.array(small, pa.binary())], names=schema.names)
 
     rows = stash(docs.select(key, "text").mapInArrow(choose, schema), "picks")
-    classes = stash(rows.where("sid is not null").groupBy("sid").agg(F.min(key).alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = stash(rows.where("sid is not null").groupBy("sid").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "classes")
 
     met = rows.select("sid", F.explode("first").alias("k")).distinct()
     sizes = met.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
@@ -169,13 +200,24 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
     split = stash(split.join(split.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "k"), "splits")
     leaves = met.where(F.col("c") <= SMALL).select("sid", "k").union(split.where(F.col("c") <= SMALL).select("sid", "k"))
 
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, "k"):
+            if t.num_rows > 1:
+                raw = b"".join(t.column("sketch").to_pylist())
+                at = pa.array(likely(np.frombuffer(raw, np.uint8).reshape(-1, BINS), threshold))
+                yield pa.RecordBatch.from_arrays([t.column("sid").combine_chunks().take(at), t.column("k").combine_chunks().take(at)], names=["sid", "k"])
+
+    sketched = leaves.join(classes.select("sid", "sketch").hint("merge"), "sid")
+    leaves = stash(sketched.repartition("k").sortWithinPartitions("k").mapInArrow(sift, "sid binary, k long"), "leaves")
+
     over = split.where(F.col("c") > SMALL).select("sid", "k")
     star = over.join(over.groupBy("k").agg(F.min("sid").alias("b")), "k").select(F.col("sid").alias("a"), "b")
     comp = components(star, "dense").select(F.col("node").alias("sid"), F.xxhash64("component").alias("dense"))
     dense = stash(comp.join(comp.groupBy("dense").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "dense"), "groups")
 
     known = leaves.groupBy("sid").agg(F.array_sort(F.collect_set("k")).alias("keys")).join(dense.select("sid", "dense"), "sid", "full")
-    info = stash(known.join(classes, "sid"), "info")
+    info = stash(known.join(classes.drop("sketch"), "sid"), "info")
     text = docs.select(F.col(key).alias("_k"), "text").join(info.select(F.col("rep").alias("_r")).distinct(), F.col("_k").eqNullSafe(F.col("_r")), "left_semi")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
