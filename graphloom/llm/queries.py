@@ -38,7 +38,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(c: str):
         return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    def count(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == F.lit(kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS]
     return got.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
