@@ -16,7 +16,7 @@ have the same phrase suffix and the same continuation of the parse. Only equalit
     a band hold the same long stretch, and only those whose stretch another context has
     too are matched by their own fingerprints.
 Bulk copies thus never leave the parse, whose size is the text's divided by about half
-of ``reach``. All groupings are counts with map-side combine; no group is collected.
+of ``reach``. No group is collected.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,6 +93,13 @@ def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.St
                 yield np.frombuffer(text.as_buffer(), np.uint8), reps.values
 
 
+def twice(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows with a neighbour of the same keys, by one sort; nothing is counted or gathered."""
+    w = Window.partitionBy(*keys).orderBy("ctx")
+    near = df.withColumns({"_b": F.lag(F.lit(1)).over(w), "_a": F.lead(F.lit(1)).over(w)})
+    return near.where("_b is not null or _a is not null").drop("_b", "_a")
+
+
 def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     """Flags of the bytes in windows that begin at ``starts``."""
     d = np.zeros(n + 1, np.int32)
@@ -149,8 +156,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH) -
             )
 
     cut_up = stash(spots(reps).mapInArrow(bands, "seed long, ctx long, band short, stretch long"), "bands")
-    met = cut_up.groupBy("seed", "band", "stretch").agg(F.count("*").alias("m")).where("m > 1").select("seed", "band", "stretch")
-    live = cut_up.join(met.hint("merge"), ["seed", "band", "stretch"]).groupBy("seed", "ctx").agg(F.collect_set("band").alias("bands"))
+    live = twice(cut_up, "seed", "band", "stretch").groupBy("seed", "ctx").agg(F.collect_set("band").alias("bands"))
     reps = stash(reps.join(live.hint("merge"), ["seed", "ctx"]).select("rid", "s0", "n", "d", "seed", "ctx", "bands"), "live")
     discard(cut_up)
 
@@ -172,11 +178,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH) -
             )
 
     fine = stash(spots(reps).mapInArrow(windows, "seed long, ctx long, a short, w long"), "windows")
-    twice = fine.groupBy("seed", "w").agg(F.count("*").alias("m")).where("m > 1").select("seed", "w")
-    some = fine.join(twice.hint("merge"), ["seed", "w"]).groupBy("seed", "ctx").agg(F.collect_set("a").alias("a"))
+    some = twice(fine, "seed", "w").groupBy("seed", "ctx").agg(F.collect_set("a").alias("a"))
     found = classes.join(some, ["seed", "ctx"], "left").where("c > 1 or a is not null").select("seed", "ctx", F.when(F.col("c") == 1, F.col("a")).alias("a"))
     lose = active.join(found.hint("merge"), ["seed", "ctx"]).groupBy("rid").agg(F.collect_list(F.struct("s0", "n", "a")).alias("lose"))
     lose = stash(lose, "removals")
+    for done in (fine, reps, active, classes):
+        discard(done)
     schema = T.StructType().add(key, docs.schema[key].dataType).add("n_bytes", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
