@@ -111,7 +111,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
             )
 
     index = stash(classes.select("id", "v", "copies").mapInArrow(describe, "id long, pivots array<int>, v binary, copies long"), "index")
-    subsets = [F.struct(F.xxhash64(*(F.col("pivots")[i] for i in s)).alias("unit"), F.col("pivots")[s[-1]].alias("last")) for s in combinations(range(depth), need)]
+    subsets = [F.struct(F.xxhash64(*(F.col("pivots")[i] for i in s)).alias("unit"), F.col("pivots")[s[-1]].alias("last")) for s in combinations(range(depth), need) if s]
     lists = index.select("id", F.explode(F.array(*subsets)).alias("k")).select("id", "k.unit", "k.last") if subsets and n else spark.createDataFrame([], "id long, unit long, last int")
     sizes = lists.groupBy("unit").agg(F.count("*").alias("c")).where("c > 1")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
