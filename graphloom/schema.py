@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _s(*fields: tuple[str, str | T.DataType]) -> T.StructType:
+def record(*fields: tuple[str, str | T.DataType]) -> T.StructType:
     plain = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType()}
     return T.StructType([T.StructField(name, plain.get(kind, kind) if isinstance(kind, str) else kind) for name, kind in fields])
 
 
 STRINGS = T.ArrayType(T.StringType())
-SCAN = _s(("project", "string"), ("root", "string"), ("path", "string"), ("rel_path", "string"), ("ext", "string"), ("size", "long"))
-DEFINITION = _s(("name", "string"), ("line", "int"))
-CALLS = _s(("name", "string"), ("line", "int"), ("calls", STRINGS))
-PARSED = _s(
+SCAN = record(("project", "string"), ("root", "string"), ("path", "string"), ("rel_path", "string"), ("ext", "string"), ("size", "long"))
+DEFINITION = record(("name", "string"), ("line", "int"))
+CALLS = record(("name", "string"), ("line", "int"), ("calls", STRINGS))
+PARSED = record(
     ("language", "string"), ("line_count", "int"), ("functions", T.ArrayType(DEFINITION)), ("imports", STRINGS), ("calls", STRINGS), ("function_calls", T.ArrayType(CALLS))
 )
-AST = T.StructType([*_s(("project", "string"), ("path", "string"), ("rel_path", "string")).fields, *PARSED.fields])
-EVENT = _s(
+AST = T.StructType([*record(("project", "string"), ("path", "string"), ("rel_path", "string")).fields, *PARSED.fields])
+EVENT = record(
     ("file_pos", "long"), ("branch", "int"), ("i", "int"), ("kind", "string"), ("label", "string"), ("uid", "string"), ("type", "string"),
     ("src_label", "string"), ("src_uid", "string"), ("dst_label", "string"), ("dst_uid", "string"), ("props", T.MapType(T.StringType(), T.StringType())),
 )
-HASHES = _s(("identity", "string"), ("hash", "string"))
-CHURN = _s(("project", "string"), ("rel_path", "string"), ("commits", "long"), ("added", "long"), ("removed", "long"))
+HASHES = record(("identity", "string"), ("hash", "string"))
+CHURN = record(("project", "string"), ("rel_path", "string"), ("commits", "long"), ("added", "long"), ("removed", "long"))
