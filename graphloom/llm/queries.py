@@ -129,4 +129,32 @@ def _escaped(c: str) -> str:
 
 CHAT_SQL = CHAT_SQL.replace("{esc_role}", _escaped("role")).replace("{esc_text}", _escaped("text"))
 
-ORACLE_SQL = {"op5_chat_format": CHAT_SQL, "op7_line_dedup": LINE_SQL}
+_COMPONENTS = """,
+r(x, y) AS (SELECT a, b FROM links UNION SELECT r.x, l.b FROM r JOIN links l ON l.a = r.y),
+c AS (SELECT x, min(y) AS y FROM r GROUP BY x),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+"""
+
+JACCARD_SQL = (
+    r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10ffff}]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) AS h FROM w WHERE len(w) > 0),
+z AS (SELECT doc_id, count(*) AS z FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM p JOIN z u ON u.doc_id = a JOIN z v ON v.doc_id = b WHERE k >= 0.8 * (u.z + v.z - k) - 1e-9)"""
+    + _COMPONENTS
+    + """SELECT doc_id, least(doc_id, coalesce(c.y, doc_id)) AS class_id, coalesce(n.n, 0) AS n_links, doc_id <= coalesce(c.y, doc_id) AS kept
+FROM documents LEFT JOIN c ON c.x = doc_id LEFT JOIN n ON n.a = doc_id"""
+)
+
+VECTOR_SQL = (
+    """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_dot_product(x.e, y.e) / (x.l * y.l) >= 0.95)"""
+    + _COMPONENTS
+    + """SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.y, vec_id)) AS component_id, vec_id <= coalesce(c.y, vec_id) AS kept
+FROM embeddings LEFT JOIN c ON c.x = vec_id LEFT JOIN n ON n.a = vec_id"""
+)
+
+ORACLE_SQL = {"op1_jaccard_join": JACCARD_SQL, "op2_near_vectors": VECTOR_SQL, "op5_chat_format": CHAT_SQL, "op7_line_dedup": LINE_SQL}
