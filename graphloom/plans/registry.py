@@ -16,7 +16,7 @@ from graphloom.operators import intervals as V
 from graphloom.operators import search as S
 from graphloom.operators import semantic as M
 from graphloom.operators import similarity as Y
-from graphloom.plans.workload import W1, W4, Tables
+from graphloom.plans.workload import W1, W4, W4_ALL, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -478,6 +478,91 @@ def project_summary(t):
     return C.project_summary(t["part"], "p_size", 10)
 
 
+# --- the same operators over whole tables ------------------------------------
+
+# The queries above with bounds on order keys keep their SQL; each has a twin here without bounds.
+_SPANS_ALL = "sp AS (SELECT l_orderkey AS file, l_partkey AS span, l_linenumber AS lo, l_linenumber + l_suppkey % 4 AS hi FROM lineitem), pt AS (SELECT o_orderkey AS file, o_orderkey AS id, 1 + o_custkey % 7 AS line FROM orders)"
+
+
+def _spans_all(t):
+    s = t["lineitem"].select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("span"), long("l_linenumber").alias("lo"), (F.col("l_linenumber") + F.col("l_suppkey") % 4).alias("hi"))
+    p = t["orders"].select(F.col("o_orderkey").alias("file"), F.col("o_orderkey").alias("id"), (1 + F.col("o_custkey") % 7).alias("line"))
+    return p, s
+
+
+@query("SELECT id, span FROM (SELECT id, span, row_number() OVER (PARTITION BY id ORDER BY hi - lo, span) AS n FROM pt JOIN sp ON pt.file = sp.file AND line BETWEEN lo AND hi) WHERE n = 1", _SPANS_ALL)
+def enclosing_function_all(t):
+    return V.enclosing(*_spans_all(t))
+
+
+@query("SELECT id, min_by(span, span) AS statement FROM pt JOIN sp ON pt.file = sp.file AND line BETWEEN lo AND hi GROUP BY 1", _SPANS_ALL)
+def containing_statement_all(t):
+    p, s = _spans_all(t)
+    return V.containing(p, s.select("file", "lo", "hi", F.col("span").alias("statement"), F.col("span").alias("pos")))
+
+
+@query("SELECT id, statement FROM (SELECT id, span AS statement, row_number() OVER (PARTITION BY id ORDER BY lo, span) AS n FROM pt JOIN sp ON pt.file = sp.file AND lo > line) WHERE n = 1", _SPANS_ALL)
+def next_statement_all(t):
+    p, s = _spans_all(t)
+    return V.following(p, s.select("file", "lo", F.col("span").alias("statement"), F.col("span").alias("pos")))
+
+
+@query("SELECT u.span, count(pt.id) AS n FROM (SELECT file * 100 + lo AS span, file, min(lo) AS lo, max(hi) AS hi FROM sp GROUP BY 1, 2) u LEFT JOIN pt ON pt.file = u.file AND line BETWEEN lo AND hi GROUP BY 1", _SPANS_ALL)
+def nodes_in_function_all(t):
+    p, s = _spans_all(t)
+    u = s.groupBy((F.col("file") * 100 + F.col("lo")).alias("span"), "file").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return V.inside(u, p)
+
+
+@query("SELECT identity, change FROM df", W4_ALL)
+def snapshot_diff_all(t):
+    return I.diff(t.old_snapshot(), t.new_snapshot())
+
+
+@query("SELECT change, 'node:File' AS category, count(*) AS n FROM df GROUP BY 1", W4_ALL)
+def snapshot_report_all(t):
+    return I.report(I.diff(t.old_snapshot(), t.new_snapshot()))
+
+
+@query("SELECT count(*) FILTER (change <> 'removed') AS unique_events, count(*) FILTER (change IN ('added', 'changed')) AS loaded, count(*) FILTER (change = 'unchanged') AS skipped, count(*) FILTER (change = 'removed') AS stale FROM df", W4_ALL)
+def load_counters_all(t):
+    return I.load_counters(t.old_snapshot(), t.new_snapshot())
+
+
+@query("SELECT ns.identity, ns.hash FROM ns LEFT JOIN os ON os.identity = ns.identity WHERE os.hash IS DISTINCT FROM ns.hash", W4_ALL)
+def load_changed_all(t):
+    return I.changed_rows(t.old_snapshot(), t.new_snapshot()).select("identity", "hash")
+
+
+@query("SELECT identity FROM df WHERE change = 'removed'", W4_ALL)
+def load_stale_all(t):
+    return I.stale(t.old_snapshot(), t.new_snapshot())
+
+
+@query("SELECT coalesce(ns.identity, os.identity) AS identity, coalesce(ns.hash, os.hash) AS hash FROM os FULL JOIN ns ON os.identity = ns.identity", W4_ALL)
+def merge_nodes_all(t):
+    return I.merge(t.old_snapshot(), t.new_snapshot(), ["identity"])
+
+
+@query("SELECT 'node' AS kind, 'File' AS type, split_part(identity, ':', 3) AS project, change FROM df WHERE change = 'changed'", W4_ALL)
+def delta_changed_all(t):
+    return I.parse_identity(I.diff(t.old_snapshot(), t.new_snapshot())).where("change = 'changed'").select("kind", "type", "project", "change")
+
+
+@query("SELECT count(*) FILTER (os.hash = ns.hash) AS hits, count(*) FILTER (os.hash IS DISTINCT FROM ns.hash) AS misses FROM ns LEFT JOIN os ON os.identity = ns.identity", W4_ALL)
+def cache_counters_all(t):
+    hits, misses = I.with_cache(t.new_snapshot(), t.old_snapshot(), "identity", "hash")
+    return hits.agg(F.count("*").alias("hits")).crossJoin(misses.agg(F.count("*").alias("misses")))
+
+
+@query("SELECT l_suppkey AS repo, l_partkey::VARCHAR AS rel_path, count(DISTINCT l_orderkey) AS commits, sum(l_quantity::BIGINT)::BIGINT AS added, sum(l_linenumber)::BIGINT AS removed FROM lineitem GROUP BY l_suppkey, l_partkey")
+def numstat_parse_all(t):
+    # a supplier is a repository, with a text of its own
+    d = t["lineitem"].select("l_suppkey", "l_orderkey", F.concat_ws("\t", F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("line"))
+    c = d.groupBy("l_suppkey", "l_orderkey").agg(F.concat(F.lit("COMMIT\n"), F.array_join(F.collect_list("line"), "\n")).alias("c"))
+    return X.numstat(c.groupBy(F.col("l_suppkey").alias("repo")).agg(F.array_join(F.collect_list("c"), "\n").alias("text")), "repo")
+
+
 # --- text ----------------------------------------------------------------------
 
 

@@ -47,6 +47,17 @@ class Tables:
         d = self["orders"].where(rows).groupBy("o_custkey").agg(F.count("*").alias("c"), F.max("o_orderkey").alias("m"))
         return d.select(F.concat(F.lit("node:File:"), F.col("o_custkey").cast("string")).alias("identity"), F.sha2(F.concat_ws("|", F.col("c").cast("string"), F.col("m").cast("string")), 256).alias("hash"))
 
+    def old_snapshot(self) -> DataFrame:
+        """State of all orders before: a file is a customer's orders of one priority."""
+        return self._snapshot("F")
+
+    def new_snapshot(self) -> DataFrame:
+        return self._snapshot("P")
+
+    def _snapshot(self, left_out: str) -> DataFrame:
+        d = self["orders"].where(F.col("o_orderstatus") != left_out).groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("c"), F.max("o_orderkey").alias("m"))
+        return d.select(F.concat(F.lit("node:File:"), F.col("o_custkey").cast("string"), F.lit("/"), "o_orderpriority").alias("identity"), F.sha2(F.concat_ws("|", F.col("c").cast("string"), F.col("m").cast("string")), 256).alias("hash"))
+
     def docs(self) -> DataFrame:
         return self["documents"].select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -67,3 +78,9 @@ os AS (SELECT 'node:File:' || o_custkey AS identity, sha256(count(*) || '|' || m
 ns AS (SELECT 'node:File:' || o_custkey AS identity, sha256(count(*) || '|' || max(o_orderkey)) AS hash FROM orders WHERE o_orderkey < 11000 AND o_custkey % 7 <> 3 GROUP BY o_custkey),
 df AS (SELECT coalesce(os.identity, ns.identity) AS identity, CASE WHEN os.hash IS NULL THEN 'added' WHEN ns.hash IS NULL THEN 'removed'
   WHEN os.hash <> ns.hash THEN 'changed' ELSE 'unchanged' END AS change FROM os FULL JOIN ns ON os.identity = ns.identity)"""
+#: W4 over all orders: the states differ by order status, not by key.
+W4_ALL = """
+os AS (SELECT 'node:File:' || o_custkey || '/' || o_orderpriority AS identity, sha256(count(*) || '|' || max(o_orderkey)) AS hash FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey, o_orderpriority),
+ns AS (SELECT 'node:File:' || o_custkey || '/' || o_orderpriority AS identity, sha256(count(*) || '|' || max(o_orderkey)) AS hash FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey, o_orderpriority),
+df AS (SELECT coalesce(os.identity, ns.identity) AS identity, CASE WHEN os.hash IS NULL THEN 'added' WHEN ns.hash IS NULL THEN 'removed'
+  WHEN os.hash <> ns.hash THEN 'changed' ELSE 'unchanged' END AS change FROM os FULL JOIN ns ON os.identity = ns.identity)"""
