@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -251,14 +252,9 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     return seen.join(first, "uid", "left_anti")
 
 
-def in_cycle(edges: DataFrame) -> DataFrame:
-    """Nodes on a directed cycle, self-loops included.
-
-    Nodes without a way in or out are trimmed until none is left to trim; each remaining
-    node's cycle is then found by forward reachability from it inside its weak component.
-    """
-    loops = edges.where("src = dst").select(F.col("src").alias("uid"))
-    e = settle(edges.where("src <> dst").select("src", "dst").distinct())
+def trimmed(edges: DataFrame) -> DataFrame:
+    """Edges that remain when nodes without a way in or out are removed until none is left."""
+    e = settle(edges)
     n = e.count()
     while n:
         e = settle(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
@@ -266,45 +262,130 @@ def in_cycle(edges: DataFrame) -> DataFrame:
         if m == n:
             break
         n = m
-    reach, size = e, n
-    while size:
-        more = settle(reach.union(reach.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst"))).distinct())
-        m = more.count()
-        reach = more
-        if m == size:
-            break
-        size = m
-    return reach.where("src = dst").select(F.col("src").alias("uid")).union(loops).distinct()
+    return e
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(uid, scc): the strong component of every node on a cycle through other nodes, named
+    by its greatest node.
+
+    Each node takes the greatest node that reaches it; what reaches that node inside one
+    label is its component, and the rest goes on. Rounds grow with the length of paths,
+    rows of a round only with the edges.
+    """
+    e = trimmed(edges.where("src <> dst").select("src", "dst").distinct())
+    out = e.select(F.col("src").alias("uid"), F.col("src").alias("scc")).limit(0)
+    while not e.isEmpty():
+        label = settle(e.select(F.col("src").alias("uid")).distinct().select("uid", F.col("uid").alias("scc"), F.lit(True).alias("moved")))
+        label = settle(label.union(e.select(F.col("dst").alias("uid")).distinct().join(label, "uid", "left_anti").select("uid", F.col("uid").alias("scc"), F.lit(True))))
+        while not (front := label.where("moved")).isEmpty():
+            best = e.join(front, e.src == front.uid).groupBy(F.col("dst").alias("uid")).agg(F.max("scc").alias("new"))
+            label = settle(label.join(best, "uid", "left").select("uid", F.greatest("scc", "new").alias("scc"), F.coalesce(F.col("new") > F.col("scc"), F.lit(False)).alias("moved")))
+        a, b = label.select(F.col("uid").alias("src"), "scc"), label.select(F.col("uid").alias("dst"), F.col("scc").alias("other"))
+        inside = settle(e.join(a, "src").join(b, "dst").where("scc = other").select("src", "dst", "scc"))
+        front = seen = label.where("uid = scc").select("uid", "scc")
+        while not front.isEmpty():
+            front = settle(inside.join(front.select(F.col("uid").alias("dst")), "dst").select(F.col("src").alias("uid"), "scc").distinct().join(seen, "uid", "left_anti"))
+            seen = settle(seen.union(front))
+        out = settle(out.union(seen))
+        done = seen.select(F.col("uid").alias("src"))
+        e = trimmed(inside.select("src", "dst").join(done, "src", "left_anti").join(done.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
+    return out.join(out.groupBy("scc").agg(F.count("*").alias("n")).where("n > 1"), "scc").select("uid", "scc")
+
+
+def in_cycle(edges: DataFrame) -> DataFrame:
+    """Nodes on a directed cycle, self-loops included: those of strong components."""
+    loops = edges.where("src = dst").select(F.col("src").alias("uid"))
+    return strong_components(edges).select("uid").union(loops).distinct()
 
 
-def longest_depth(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(uid, depth): edges on the longest path from each node of an acyclic graph; at most
-    ``most`` rounds, so a cycle shows as that depth."""
+def longest_depth(edges: DataFrame) -> DataFrame:
+    """(uid, depth): edges on the longest path from each node. Strong components count as
+    one node, so edges inside a cycle add nothing; there are as many rounds as the longest
+    path has edges, so at most one for each node."""
     e = settle(edges.where("src <> dst").select("src", "dst").distinct())
-    layer = e.select(F.col("src").alias("uid")).distinct()
-    found = e.select("src").union(e.select("dst")).distinct().select(F.col("src").alias("uid"), F.lit(0).cast("long").alias("depth"))
-    for d in range(1, most + 1):
-        layer = settle(layer)
-        if layer.isEmpty():
-            break
+    nodes = e.select(F.col("src").alias("uid")).union(e.select("dst")).distinct()
+    names = settle(nodes.join(strong_components(e), "uid", "left").select("uid", F.coalesce("scc", "uid").alias("node")))
+    a, b = names.select(F.col("uid").alias("src"), F.col("node").alias("a")), names.select(F.col("uid").alias("dst"), F.col("node").alias("b"))
+    e = settle(e.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    found, d = e.select(F.col("src").alias("node"), F.lit(1).cast("long").alias("depth")).limit(0), 0
+    while not e.isEmpty():
+        d += 1
+        layer = e.select(F.col("src").alias("node")).distinct()
         found = found.union(layer.withColumn("depth", F.lit(d).cast("long")))
-        layer = e.join(layer, e.dst == layer.uid).select(F.col("src").alias("uid")).distinct()
-    return found.groupBy("uid").agg(F.max("depth").alias("depth"))
+        if d % 32 == 0:  # keeps the plan short
+            found = settle(found.groupBy("node").agg(F.max("depth").alias("depth")))
+        e = settle(e.join(layer.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+    found = found.groupBy("node").agg(F.max("depth").alias("depth"))
+    return names.join(found, "node", "left").select("uid", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
+
+
+def witnesses(sets: list[tuple[int, ...]], own: int, more: int) -> list[tuple[int, ...]]:
+    """A few of the node sets, so that whenever one of ``sets`` avoids ``more`` given nodes
+    (never ``own``, which all hold), a chosen one does too: a set that is hit is hit in one of
+    its nodes, and the next choice has to avoid that node."""
+    chosen, todo, seen = [], [frozenset()], set()
+    while todo:
+        avoid = todo.pop()
+        if avoid in seen:
+            continue
+        seen.add(avoid)
+        got = next((s for s in chosen if avoid.isdisjoint(s)), None) or next((s for s in sets if avoid.isdisjoint(s)), None)
+        if got is not None:
+            if got not in chosen:
+                chosen.append(got)
+            if len(avoid) < more:
+                todo += [avoid | {x} for x in got if x != own]
+    return chosen
+
+
+def few(more: int):
+    """Witnesses of each node's paths (v, p) in one batch."""
+
+    def run(batches):
+        for b in batches:
+            by: dict[int, list] = {}
+            for v, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                by.setdefault(v, []).append(tuple(p))
+            rows = [(v, p) for v, ps in by.items() for p in witnesses(ps, v, more)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([list(x[1]) for x in rows], pa.list_(pa.int64()))], names=["v", "p"])
+
+    return run
+
+
+def fewer(more: int):
+    """Witnesses of one node's paths (v, p)."""
+
+    def run(t):
+        v = t.column("v")[0].as_py()
+        ps = witnesses([tuple(p) for p in t.column("p").to_pylist()], v, more)
+        return pa.table({"v": pa.array([v] * len(ps), pa.int64()), "p": pa.array([list(p) for p in ps], pa.list_(pa.int64()))})
+
+    return run
 
 
 def longest_chain(edges: DataFrame, most: int = 6) -> DataFrame:
     """(uid, chain): edges of the longest simple path from each node, plus the edge that
-    closes a cycle, counted up to ``most``; paths are kept as arrays."""
+    closes a cycle, counted up to ``most``.
+
+    A chain of n edges is a simple path of n nodes whose last node has a way out. Paths grow
+    at the front; of a node's paths only ``witnesses`` are kept, a fixed number for each
+    node that decides exactly whether a longer path exists.
+    """
     e = settle(edges.select("src", "dst").distinct())
-    paths = e.select(F.col("src").alias("uid"), F.array("src", "dst").alias("p"), (F.col("src") != F.col("dst")).alias("open"))
-    out = paths.select("uid", F.lit(1).cast("long").alias("n"))
+    ids = settle(e.select(F.col("src").alias("uid")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    a, b = ids.select(F.col("uid").alias("src"), F.col("id").alias("u")), ids.select(F.col("uid").alias("dst"), F.col("id").alias("v"))
+    steps = settle(e.where("src <> dst").join(a, "src").join(b, "dst").select("u", "v"))
+    paths = ids.select(F.col("id").alias("v"), F.array("id").alias("p"))
+    out = ids.select("id", F.lit(1).cast("long").alias("n"))
     for k in range(2, most + 1):
-        paths = paths.where("open").withColumn("src", F.element_at("p", -1)).join(e, "src")
-        paths = settle(paths.select("uid", F.concat("p", F.array("dst")).alias("p"), (~F.array_contains("p", F.col("dst"))).alias("open")))
+        longer = steps.join(paths, "v").where(~F.array_contains("p", F.col("u"))).select(F.col("u").alias("v"), F.array_sort(F.concat("p", F.array("u"))).alias("p"))
+        kind = "v long, p array<long>"
+        paths = settle(longer.mapInArrow(few(most - k), kind).groupBy("v").applyInArrow(fewer(most - k), kind))
         if paths.isEmpty():
             break
-        out = out.union(paths.select("uid", F.lit(k).cast("long").alias("n")).distinct())
-    return out.groupBy("uid").agg(F.max("n").alias("chain"))
+        out = out.union(paths.select(F.col("v").alias("id"), F.lit(k).cast("long").alias("n")).distinct())
+    return out.groupBy("id").agg(F.max("n").alias("chain")).join(ids, "id").select("uid", "chain")
 
 
 def risk_flags(metrics: DataFrame) -> DataFrame:

@@ -270,6 +270,24 @@ def dependency_chain(t):
     return G.longest_chain(_ring(t))
 
 
+# the same three over the call graph: no SQL, as its cycles are too large for a recursive one; tested on small graphs
+
+
+@query()
+def nodes_in_cycles_calls(t):
+    return G.in_cycle(t.edges())
+
+
+@query()
+def call_depth_calls(t):
+    return G.longest_depth(t.edges())
+
+
+@query()
+def dependency_chain_calls(t):
+    return G.longest_chain(t.edges())
+
+
 _METRICS = ", m AS (SELECT uid, line % 23 AS complexity, fan_in, fan_out, (line % 9)::BIGINT AS chain, line % 11 = 0 AS cyclic FROM deg), fl AS (SELECT *, concat_ws(',', CASE WHEN complexity > 10 AND fan_in > 5 THEN 'complex_and_used' END, CASE WHEN chain > 5 THEN 'deep_chain' END, CASE WHEN fan_in + fan_out > 20 THEN 'god_class' END, CASE WHEN cyclic THEN 'cyclic' END) AS flags FROM m)"
 
 
