@@ -16,11 +16,22 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import prepare
 
-#: A run of 12 or more token characters with a digit in it.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*[0-9])[A-Za-z0-9_+/=.-]{12,}+"
 #: Words that assign or name a secret, and words that name harmless identifiers.
-CUES = r"(?i)(passw(or)?d|passwd|pwd|secret|token|api.?key|access.?key|credential|private.?key|auth|bearer)"
+_CUES = r"(?:passw(?:or)?d|passwd|pwd|secret|token|api.?key|access.?key|credential|private.?key|auth|bearer)"
+CUES = r"(?i)" + _CUES
 HARMLESS = r"(?i)(commit|checksum|sha1|sha256|md5|digest|uuid|guid|build|version|isbn|order|invoice|image|path|file|url|href|src|release)"
+#: Behind a cue word and an assignment; the shorter looks behind come first, as they cost less.
+_ASSIGNED = r"(?<=[\s=:{q}])(?<=[=:]\s{{0,8}}{q})(?<=(?i:" + _CUES + r")[A-Za-z0-9_-]{{0,32}}[\"']?\s{{0,8}}[=:]{{1,2}}\s{{0,8}}{q})"
+#: A header of a private key; a quoted value after a cue word, of any printable characters; a cue word
+#: and its value in one run; a value without quotes; a run of 12 or more token characters with a digit in it.
+CANDIDATE = "|".join((
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----",
+    _ASSIGNED.format(q='"') + r'(?:\\.|[^"\\\n])++(?=")',
+    _ASSIGNED.format(q="'") + r"(?:\\.|[^'\\\n])++(?=')",
+    r"(?<![A-Za-z0-9_+/=.-])(?i:[A-Za-z0-9_.-]*" + _CUES + r")[A-Za-z0-9_-]*=[^\s\"'=](?:\S*[^\s\"',;)\]}>])?",
+    _ASSIGNED.format(q="") + r"(?!(?i:bearer|basic|token)\s)[^\s\"'=:](?:\S*[^\s\"',;)\]}>])?",
+    r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*[0-9])[A-Za-z0-9_+/=.-]{12,}+",
+))
 #: Words whose characters count as dictionary coverage.
 DICTIONARY = (
     "the and for with from this that into over under user users admin test data file files image images page pages index item items list table report "
@@ -67,6 +78,11 @@ def features() -> dict[str, Column]:
         "harmless_before": (last.rlike(HARMLESS) | F.col("before").rlike(HARMLESS + r"\W{1,4}$")).cast("double"),
         "assigned": (F.col("before").rlike("[=:]\\s*[\"']?$") | c.rlike("^[A-Za-z_]+=")).cast("double"),
         "quoted": F.col("before").rlike("[\"']$").cast("double"),
+        "private_key": c.startswith("-----BEGIN").cast("double"),
+        "symbols": share("[^A-Za-z0-9_+/=.\\s-]"),
+        "spaces": share("\\s"),
+        "strong_cue": F.concat(last, F.regexp_extract("c", "^([A-Za-z_-]{2,})=", 1)).rlike("(?i)(passw(or)?d|passwd|pwd|secret|token|key|credential)$").cast("double"),
+        "placeholder": value.rlike("(?i)^([<$%{*]|your|change|example|none$|null$|true$|false$|required|optional|string|x+$|self[.]|os[.]|get|input|env)|[(]").cast("double"),
         "at_after": F.col("after").rlike("^@").cast("double"),
         "sentence_after": F.col("after").rlike("^\\s+[a-z]").cast("double"),
     }
@@ -128,6 +144,62 @@ def labelled_findings(n: int = 1500, seed: int = 11) -> list[tuple[str, str, str
             else:
                 c = ".".join(str(r.randint(100, 255)) for _ in range(4))
             out.append((before[-CONTEXT:], c, after[:CONTEXT], 0))
+    return out + labelled_values(n // 2, seed + 1)
+
+
+def labelled_values(n: int, seed: int) -> list[tuple[str, str, str, int]]:
+    """Findings of the kinds that need a cue: passwords as people write them, private keys,
+    and the harmless words and placeholders that stand in the same places."""
+    r = random.Random(seed)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    pick = lambda s, k: "".join(r.choice(s) for _ in range(k))
+    syllables = lambda a, b: "".join(r.choice(["cor", "rec", "hor", "se", "bat", "ter", "sta", "ple", "hun", "mon", "key", "dra", "gon", "sun", "blue", "tro", "ub", "let", "me", "in"]) for _ in range(r.randint(a, b)))
+    out = []
+    for k in range(n):
+        before, after = r.choice(["", "the ", "set ", "# ", "login root ", "\n"]), r.choice(["\n", " ", ", ", "}"]) + r.choice(["", "user = admin", "next line", "and then"])
+        name = r.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "DB_PASSWORD", "client_secret", "Password", "credential"])
+        quote = r.choice(['"', '"', "'", ""])
+        if k % 2:
+            kind = r.randrange(6)
+            if kind == 0:
+                c = syllables(2, 3) + pick("0123456789", r.randint(1, 4)) + r.choice(["", "pass", "!", syllables(1, 1)])
+            elif kind == 1:
+                c = syllables(4, 9)
+                quote = quote or '"'
+            elif kind == 2:
+                c = syllables(1, 2).capitalize() + pick("0123456789", 2) + pick("&!@#$%^*?~", r.randint(1, 2)) + pick(lower + "0123456789", r.randint(2, 5)) + pick("&!@#$%?", r.randint(0, 2))
+            elif kind == 3:
+                c = pick(lower + lower.upper() + "!@#$%&*", r.randint(6, 24))
+            elif kind == 4:
+                c = r.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED ", "DSA "]) + "PRIVATE KEY"
+                out.append((before, f"-----BEGIN {c}-----", "\n" + pick(lower.upper() + "0123456789+/", 50), 1))
+                continue
+            else:
+                c = " ".join(syllables(1, 3) for _ in range(r.randint(3, 5)))
+                quote = quote or '"'
+            if not quote and r.random() < 0.5:
+                out.append((before, f"{name}={c}", after, 1))
+                continue
+            out.append((before + name + r.choice(['": ', ": ", " = ", "="] if quote else [": ", " = "]) + quote, c, quote + after, 1))
+        else:
+            kind = r.randrange(6)
+            if kind == 0:
+                name, c = r.choice(["author", "Author", "authors", "authority", "authentication", "tokens", "authorised by"]), r.choice(["John Smith", "Mary", "Anna", "Peter_Jones", "city council", "enabled", "42", "basic", "MIT", syllables(2, 3).capitalize()])
+                c = c if quote else c.split(" ")[0]
+            elif kind == 1:
+                c = r.choice(["required", "optional", "string", "null", "None", "true", "false", "example", "changeme", "xxxx", "xxxxxxxx"])
+            elif kind == 2:
+                c = r.choice(["<your-password>", "${SECRET}", "$PASSWORD", "%s", "{token}", "********", "your_password_here", "<token>", "YOUR-API-KEY"])
+            elif kind == 3:
+                c, quote = r.choice(["os.environ[key]", "input()", "getpass()", "get_secret(name)", "self.password", "env.TOKEN", "request.form"]), ""
+            elif kind == 4:
+                c, quote = r.choice(["the", "a", "see", "it", "must", "at", "not", "use", "never", "eight", "forgotten", "minimum", "list", r.choice(DICTIONARY)]), ""
+                out.append((before + name + r.choice([": ", ": ", " = "]), c, " " + " ".join(r.choice(DICTIONARY) for _ in range(4)), 0))
+                continue
+            else:
+                c = r.choice(["Password", "Enter your password", "Token", "must not be empty", "Forgot your password?", "Please sign in"])
+                quote = quote or '"'
+            out.append((before + name + r.choice(['": ', ": ", " = "] if quote else [": ", " = "]) + quote, c, quote + after, 0))
     return out
 
 
