@@ -63,7 +63,7 @@ def base_spans(text: str) -> list[Span]:
     """Spans (start, end, kind) of the base patterns, by start and then kind."""
     out = list(_emails(text)) if "@" in text else []
     if _DIGIT.search(text):
-        out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(int(p[:4]) <= 255 and len(p.lstrip("0")) <= 3 for p in m[0].split("."))]
+        out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p := q.lstrip("0")) <= 3 and int(p or "0") <= 255 for q in m[0].split("."))]
         for m in _CARD.finditer(text):
             d = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(d) <= 19 and luhn(d):
