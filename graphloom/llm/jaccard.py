@@ -256,9 +256,13 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
 def keep_one(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: float = 0.8) -> DataFrame:
     """Rows of ``docs`` that remain if one document of each near-duplicate group stays:
     the one with the smallest key. Rows without a word, and rows with a null key, stay;
-    of repeated rows with one key, one stays."""
-    links = jaccard_links(docs, key, n, threshold)
-    gone = stash(links.where(F.col(key) > F.col("class_id")).select(F.col(key).alias("_gone")).distinct(), "gone")
-    kept = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    twice = kept.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
-    return kept.where(F.col(key).isNull()).unionByName(kept.where(F.col(key).isNotNull()).dropDuplicates([key])) if twice else kept
+    of repeated rows with one key and text, one stays. Rows with one key and different
+    texts are different documents."""
+    row = F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("key"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")))
+    named = docs.withColumn("_id", row)
+    links = jaccard_links(named.select("_id", "text"), "_id", n, threshold)
+    gone = stash(links.where(F.col("_id") > F.col("class_id")).select(F.col("_id").alias("_gone")).distinct(), "gone")
+    kept = named.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    twice = kept.where("_id is not null").groupBy("_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
+    kept = kept.where("_id is null").unionByName(kept.where("_id is not null").dropDuplicates(["_id"])) if twice else kept
+    return kept.drop("_id")
