@@ -41,8 +41,8 @@ def slices(off: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i below n."""
-    if len(_pow.get("p", ())) < n:
-        m = 1 << max(16, (n - 1).bit_length())
+    if "p" not in _pow or len(_pow["p"]) < n:
+        m = 1 << max(16, n.bit_length())
         for k, b in (("p", BASE), ("q", pow(BASE, -1, 1 << 64))):
             a = np.full(m, b, U64)
             a[0] = 1
