@@ -37,19 +37,19 @@ def test_bpe_memory_is_emptied(monkeypatch, reference):
         assert coder.encode(pa.array([x]))[0].tolist() == reference.encode(x).ids
 
 
-def round_robin(queues, quantum):
-    """Deficit round-robin, one queue after the other."""
-    out, deficit, at = [], Counter(), Counter()
-    while any(at[s] < len(q) for s, q in queues.items()):
-        for s in sorted(queues):
-            if at[s] == len(queues[s]):
-                continue
+def round_robin(queues, quantum, deficit):
+    """Deficit round-robin over tokens, one after the other: (source, place in its queue)."""
+    out, at, deficit, passed = [], Counter(), dict(deficit), 0
+    live = {s for s in queues if quantum[s] > 0}
+    while any(at[s] < queues[s] for s in live):
+        for s in sorted(live):
             deficit[s] += quantum[s]
-            while at[s] < len(queues[s]) and queues[s][at[s]][1] <= deficit[s] + 1e-9:
-                deficit[s] -= queues[s][at[s]][1]
-                out.append(queues[s][at[s]][0])
+            while at[s] < queues[s] and deficit[s] >= 1 - 1e-9:
+                deficit[s] -= 1
+                out.append((s, at[s]))
                 at[s] += 1
-    return out
+        passed += 1
+    return out + [(s, x) for s in sorted(set(queues) - live) for x in range(queues[s])]
 
 
 def test_packing(docs, none, reference):
@@ -58,31 +58,65 @@ def test_packing(docs, none, reference):
     place = [s * 64 + o for s, o, _ in at]
     assert place == np.concatenate([[0], np.cumsum([n for *_, n in at])])[:-1].tolist()  # gapless, only the last is short
     assert all(o + n <= 64 for _, o, n in at)
-    want = Counter(tuple(reference.encode(r.text or "", add_special_tokens=False).ids + [1]) for r in docs.collect())
-    whole, ids = Counter(), []
-    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
-        assert p.ids_crc32 == zlib.crc32(np.array(p.ids, "<u4").tobytes()) and len(p.ids) == p.length
-        assert p.start == len(ids)
-        ids += p.ids
-        if len(ids) == p.doc_tokens:
-            whole[tuple(ids)] += 1
-            ids = []
-    assert whole == want
+    want = {r.doc_id: reference.encode(r.text or "", add_special_tokens=False).ids + [1] for r in docs.collect()}
+    copies, seen = Counter(r.doc_id for r in docs.collect()), {k: [0] * len(ids) for k, ids in want.items()}
+    for p in pieces:
+        assert p.ids_crc32 == zlib.crc32(np.array(p.ids, "<u4").tobytes()) and p.doc_tokens == len(want[p.doc_id])
+        assert p.ids == want[p.doc_id][p.start : p.start + p.length] and p.length == len(p.ids) > 0
+        for i in range(p.start, p.start + p.length):
+            seen[p.doc_id][i] += 1
+    assert all(set(n) == {copies[k]} for k, n in seen.items())  # each id in exactly one piece
     assert packing.pack(none, tokenizer_path()).count() == 0
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.3, "c": 0.2}])
+def served(spark, rows, window, weights):
+    """(source, place in its queue) of every token of the stream, and its round."""
+    df = spark.createDataFrame([(k, k, s, n) for k, s, n in rows], "row long, doc_id long, source string, n long")
+    place, at = {}, Counter()
+    for k, s, n in sorted(rows, key=lambda x: (x[1], x[0])):
+        place[k] = (s, at[s])
+        at[s] += n
+    stream = {}
+    for p in packing.served_pieces(df, window=window, weights=weights).collect():
+        s, x = place[p.row]
+        for i in range(p.n):
+            assert p.at + i not in stream
+            stream[p.at + i] = (s, x + p.begin + i)
+    assert sorted(stream) == list(range(sum(n for *_, n in rows)))
+    return [stream[i] for i in range(len(stream))], at
+
+
+def first_deficit(spark, names):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(s,) for s in names], "source string")
+    return {r[0]: r[1] / (1 << 20) for r in df.select("source", F.pmod(F.xxhash64("source"), F.lit(1 << 20))).collect()}
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.998, "b": 0.002}, {"a": 0.0}])
 def test_service_order_is_deficit_round_robin(spark, weights):
     import random
 
     r = random.Random(4)
-    rows = [(k, "abc"[min(2, r.randrange(6))], r.randint(1, 90)) for k in range(300)]
-    df = spark.createDataFrame([(k, k, s, n) for k, s, n in rows], "row long, doc_id long, source string, n long")
-    got = [x.row for x in packing.service_order(df, window=128, weights=weights).orderBy("at").collect()]
-    queues = {s: [(k, n) for k, t, n in rows if t == s] for s in "abc"}
-    total = sum(n for *_, n in rows)
-    share = weights or {s: sum(n for _, n in q) / total for s, q in queues.items()}
-    assert got == round_robin(queues, {s: 128 * share[s] for s in "abc"})
+    rows = [(k, "abc"[min(2, r.randrange(6))], r.randint(1, 900)) for k in range(60)]
+    got, sizes = served(spark, rows, 128, weights)
+    total = sum(weights.values()) or 1 if weights else sum(sizes.values())
+    quantum = {s: 128 * (weights.get(s, 0) if weights else sizes[s]) / total for s in sizes}
+    assert got == round_robin(sizes, quantum, first_deficit(spark, sizes))
+
+
+def test_every_window_holds_the_target_mixture(spark):
+    import random
+
+    r = random.Random(8)
+    rows = [(k, f"s{min(11, int(r.expovariate(0.3)))}", r.choice([1, 5, 40, 300, 6000])) for k in range(300)]
+    got, sizes = served(spark, rows, 512, None)
+    total, widest = sum(sizes.values()), 0
+    for w in range(total // 512):
+        here = Counter(s for s, _ in got[w * 512 : (w + 1) * 512])
+        widest = max(widest, sum(abs(here[s] - 512 * sizes[s] / total) for s in sizes) / 2 / 512)
+    # a token of rounding for each of the twelve queues at most
+    assert widest <= 12 / 512
 
 
 def test_template_language():
