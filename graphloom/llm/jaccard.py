@@ -3,18 +3,21 @@
 Documents are sets of word shingles; equal sets are one class. In each run every set
 picks a few of its tokens: those whose run-specific hash is below 1 / (threshold * size),
 so that two sets of the wanted similarity share a pick more often than not, and
-dissimilar ones hardly ever. Sets with a shared pick meet in a bucket. A small bucket
-is brute-forced, by 64-byte sketches first, which only rule out pairs far below the
-threshold; a large one is split again by second picks. Buckets that stay large
-after two picks hold sets that are alike almost throughout: they are joined into dense
-groups, compared in pairs of blocks. ``runs`` repetitions give the target recall: a pair
-at the threshold meets in one run with probability 1 - 1/e, and in one run with a second split,
-whose picks are twice as many, with 54 %, so ten runs find 99.96 % of those and 99.99 % of
-the others.
-
-No bucket is capped, and pairs are never written out. A pair that meets in several
-buckets counts in the least common one, which each side can tell from its own keys; in
-a dense group every pair meets exactly once.
+dissimilar ones hardly ever. Sets with a shared pick meet in a bucket, and the recursion
+begins: a small bucket is brute-forced, by 64-byte sketches first, which only rule out
+pairs far below the threshold; a dense one, whose sets are on average nearly as similar
+to a set in it as the threshold asks (told by the sketches), is brute-forced as well; any
+other is split again by the next level's picks, of which there are more, and its parts are
+treated alike. What is neither small nor dense after ``DEPTH`` levels is brute-forced.
+``runs`` repetitions give the target recall: a pair at the threshold meets in one run
+with probability 1 - 1/e, and 95 % of that at each further level, so ten runs find 99.99 %
+of pairs in small or dense buckets and 99.96 % of those split down to the last level.
+
+No bucket is capped, and pairs are never written out. Buckets that are brute-forced for
+being dense or deep are joined into groups, compared in pairs of blocks, where every
+pair meets exactly once; a pair that meets in several small buckets counts in the least
+common one, which each side can tell from its own keys. Blocks and small buckets are
+bounded by their number of sets and by their tokens.
 """
 
 from __future__ import annotations
@@ -32,39 +35,52 @@ from pyspark.sql import types as T
 from graphloom.llm import textkit as tk
 from graphloom.llm.common import components, groups, prepare, stash
 
-RUNS = 10
-FIRST_RATE, SECOND_RATE = 1, 2  # expected picks of a set in a run, times the threshold
+RUNS = 10  # 16 at most
+DEPTH = 4  # levels of picks
+RATES = (1, 3, 3, 3)  # expected picks of a set in a run, times the threshold, by level
 SMALL = 128  # sets of a brute-forced bucket, at most
+MASS = 8_000_000  # tokens of a small bucket, or of a block on average, at most (64 MB)
 BINS = 64  # bytes of a set's sketch
-BLOCK = 384  # sets of a block of a dense group, on average
+BLOCK = 384  # sets of a block of a group, on average
+#: A bucket is dense if the mean similarity to a set in it is this part of the threshold.
+DENSE = 0.9
+#: Keys of large buckets that are broadcast, at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 _rng = np.random.default_rng(20240229)
-FIRST, SECOND = ((_rng.integers(1, 1 << 63, 16, np.uint64) << np.uint64(1)) | np.uint64(1) for _ in range(2))
+MULTIPLIERS = (_rng.integers(1, 1 << 63, (DEPTH, 16), np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def sets(col: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+def sets(col: pa.Array, n: int) -> Iterator[list[np.ndarray]]:
+    """Sorted distinct shingle hashes of each text, in slices of the column."""
     data, off = tk.utf8(pc.utf8_lower(col))
     for i, j in tk.slices(off):
         w, woff, _ = tk.words(data[off[i] : off[j]], off[i : j + 1] - off[i])
         h, soff = tk.shingles(w, woff, n)
-        for a, b in zip(soff, soff[1:], strict=False):
-            yield np.unique(h[a:b])
+        yield [np.unique(h[a:b]) for a, b in zip(soff, soff[1:], strict=False)]
 
 
 def set_id(u: np.ndarray) -> bytes | None:
     return hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None
 
 
-def picks(u: np.ndarray, by: np.ndarray, runs: int, rate: float) -> list[int]:
-    """Picked tokens of a set in every run, the run in the low four bits."""
-    most = min(rate / len(u), 1.0)
-    limit = np.uint64(min(int(most * 2.0**64), (1 << 64) - 1))
-    out = []
+def picks(us: list[np.ndarray], level: int, runs: int, threshold: float) -> pa.ListArray:
+    """Picked tokens of each set in every run at a level, the run in the low four bits."""
+    size = np.array([len(u) for u in us], np.int64)
+    flat = np.concatenate(us) if us else np.zeros(0, np.uint64)
+    of = np.repeat(np.arange(len(us)), size)
+    share = np.minimum(RATES[level] / threshold / np.maximum(size, 1), 1.0) * 2.0**64
+    limit = np.where(share >= 2.0**64, np.uint64((1 << 64) - 1), np.minimum(share, 2.0**63 * 1.999).astype(np.uint64))[of]
+    got, rows = [], []
     for r in range(runs):
-        got = u[u * by[r] <= limit]
-        out += ((tk.mix(got ^ by[r]) & np.uint64(0xFFFFFFFFFFFFFFF0)) | np.uint64(r)).view(np.int64).tolist()
-    return out
+        by = MULTIPLIERS[level][r]
+        hit = np.flatnonzero(flat * by <= limit)
+        got.append((tk.mix(flat[hit] ^ by) & ~np.uint64(15)) | np.uint64(r))
+        rows.append(of[hit])
+    row, token = np.concatenate(rows), np.concatenate(got).view(np.int64)
+    order = np.argsort(row, kind="stable")
+    at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(us)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(token[order]))
 
 
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(58)
@@ -91,6 +107,12 @@ def likely(sketches: np.ndarray, threshold: float) -> np.ndarray:
     return np.flatnonzero(ok.any(1))
 
 
+def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarities of sets, row by row, as their sketches tell."""
+    both = ((a > 0) | (b > 0)).sum(1)
+    return ((a == b) & (a > 0)).sum(1) / np.maximum(both, 1)
+
+
 def overlap(members: list[np.ndarray]) -> np.ndarray:
     """Pairwise intersection sizes."""
     m = len(members)
@@ -172,35 +194,79 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
     their own key. Texts with fewer than ``n`` words are one shingle. Null keys take part;
     a class of them alone has a null class_id. Repeated rows are copies of one another.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     # comparing costs more than moving: no coalescing by bytes
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[key].dataType
-    schema = T.StructType().add(key, kind).add("sid", "binary").add("first", T.ArrayType(T.LongType())).add("second", T.ArrayType(T.LongType())).add("sketch", "binary")
+    lists = pa.list_(pa.int64())
+    schema = T.StructType().add(key, kind).add("sid", "binary").add("size", "long").add("picks", T.ArrayType(T.LongType())).add("sketch", "binary")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sid, one, two, small = [], [], [], []
-            for u in sets(b.column(1), n):
-                sid.append(set_id(u))
-                small.append(sketch(u))
-                one.append(picks(u, FIRST, runs, FIRST_RATE / threshold) if len(u) else [])
-                two.append(picks(u, SECOND, runs, SECOND_RATE / threshold) if len(u) else [])
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sid, pa.binary()), pa.array(one, lists), pa.array(two, lists), pa.array(small, pa.binary())], names=schema.names)
+            at = 0
+            for us in sets(b.column(1), n):
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(at, len(us)), pa.array([set_id(u) for u in us], pa.binary()), pa.array([len(u) for u in us], pa.int64()), picks(us, 0, runs, threshold), pa.array([sketch(u) for u in us], pa.binary())],
+                    names=schema.names,
+                )
+                at += len(us)
 
     rows = stash(docs.select(key, "text").mapInArrow(choose, schema), "picks")
-    classes = stash(rows.where("sid is not null").groupBy("sid").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "classes")
+    classes = rows.where("sid is not null").groupBy("sid").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("picks").alias("picks"), F.first("sketch").alias("sketch"))
+    classes = stash(classes, "classes")
 
-    met = rows.select("sid", F.explode("first").alias("k")).distinct()
-    sizes = met.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
-    met = stash(met.join(sizes, "k"), "buckets")
-    big = met.where(F.col("c") > SMALL).select("sid", "k", F.col("k").bitwiseAND(F.lit(15)).alias("run"))
-    second = rows.select("sid", F.explode("second").alias("k2")).distinct().withColumn("run", F.col("k2").bitwiseAND(F.lit(15)))
-    split = big.join(second, ["sid", "run"]).select("sid", F.xxhash64("k", "k2").alias("k"))
-    split = stash(split.join(split.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "k"), "splits")
-    leaves = met.where(F.col("c") <= SMALL).select("sid", "k").union(split.where(F.col("c") <= SMALL).select("sid", "k"))
+    def texts_of(some: DataFrame) -> DataFrame:
+        """Texts of the classes' representatives, and of what has their keys."""
+        reps = some.select(F.col("rep").alias("_r")).distinct().hint("merge")
+        return docs.select(F.col(key).alias("_k"), "text").join(reps, F.col("_k").eqNullSafe(F.col("_r")), "left_semi").select("text")
 
+    def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for us in sets(b.column(0), n):
+                us = [u for u in us if len(u)]
+                levels = [picks(us, k, runs, threshold) for k in range(1, DEPTH)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(u) for u in us], pa.binary()), *levels], names=["sid", *(f"p{k}" for k in range(1, DEPTH))])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (3, 4, 5))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(estimate(own, one)), pa.array(estimate(own, two))], names=["sid", "k", "center", "one", "two"])
+
+    paths, leaves, stars, deep = classes.select("sid", "size", F.explode("picks").alias("k")), [], [], None
+    for level in range(DEPTH):
+        sizes = stash(paths.groupBy("k").agg(F.count("*").alias("c"), F.sum("size").alias("mass")).where("c > 1"), "sizes")
+        crowded = (F.col("c") > SMALL) | (F.col("mass") > MASS)
+        large = sizes.where(crowded).select("k")
+        many = large.count()
+        held = F.broadcast(large) if many <= BROADCAST_KEYS else large
+        # rows of large buckets never meet in a task by their key
+        leaves.append(stash(paths.join(held, "k", "left_anti").join(sizes.where(~crowded).select("k").hint("merge"), "k", "left_semi").select("sid", "k"), "small"))
+        if not many:
+            break
+        big = stash(paths.join(held, "k").select("sid", "size", "k"), "large")
+        drawn = big.join(classes.select("sid", "sketch").hint("merge"), "sid")
+        centers = drawn.groupBy("k").agg(F.min(F.struct("sid", "sketch")).alias("x"), F.max(F.struct("sid", "sketch")).alias("y"))
+        centers = centers.select("k", F.col("x.sid").alias("center"), F.col("x.sketch").alias("s1"), F.col("y.sketch").alias("s2"))
+        centers = stash(centers, "centers")
+        centers = F.broadcast(centers) if many <= BROADCAST_KEYS // 16 else centers
+        seen = drawn.join(centers, "k").select("sid", "k", "center", "sketch", "s1", "s2").mapInArrow(compared, "sid binary, k long, center binary, one double, two double")
+        seen = stash(seen, "compared")
+        dense = seen.groupBy("k").agg(F.greatest(F.avg("one"), F.avg("two")).alias("mean"))
+        dense = stash(dense.where(F.col("mean") >= (DENSE * threshold if level < DEPTH - 1 else -1.0)).select("k"), "dense")
+        dense = F.broadcast(dense) if many <= BROADCAST_KEYS else dense
+        stars.append(stash(seen.join(dense, "k", "left_semi").select(F.col("sid").alias("a"), F.col("center").alias("b")), "stars"))
+        rest = big.join(dense, "k", "left_anti")
+        if level == DEPTH - 1 or rest.isEmpty():
+            break
+        if deep is None:  # of sets that are split at all; the parts hold no others
+            some = rest.select("sid").distinct()
+            kinds = "sid binary, " + ", ".join(f"p{k} array<long>" for k in range(1, DEPTH))
+            deep = stash(texts_of(classes.join(some, "sid", "left_semi")).mapInArrow(deeper, kinds).dropDuplicates(["sid"]), "deeper")
+        run = F.lit(15).cast("long")
+        each = rest.groupBy("sid", "size").agg(F.collect_list("k").alias("ks")).join(deep.select("sid", F.col(f"p{level + 1}").alias("p")).hint("merge"), "sid")
+        child = F.flatten(F.transform("ks", lambda k: F.transform(F.filter("p", lambda p: p.bitwiseAND(run) == k.bitwiseAND(run)), lambda p: F.xxhash64(k, p).bitwiseAND(F.lit(-16).cast("long")).bitwiseOR(k.bitwiseAND(run)))))
+        paths = stash(each.select("sid", "size", F.explode(child).alias("k")), "paths")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, "k"):
@@ -209,24 +275,28 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
                 at = pa.array(likely(np.frombuffer(raw, np.uint8).reshape(-1, BINS), threshold))
                 yield pa.RecordBatch.from_arrays([t.column("sid").combine_chunks().take(at), t.column("k").combine_chunks().take(at)], names=["sid", "k"])
 
-    sketched = leaves.join(classes.select("sid", "sketch").hint("merge"), "sid")
+    met = leaves[0]
+    for more in leaves[1:]:
+        met = met.union(more)
+    sketched = met.join(classes.select("sid", "sketch").hint("merge"), "sid")
     leaves = stash(sketched.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(sift, "sid binary, k long"), "leaves")
 
-    over = split.where(F.col("c") > SMALL).select("sid", "k")
-    star = over.join(over.groupBy("k").agg(F.min("sid").alias("b")), "k").select(F.col("sid").alias("a"), "b")
-    comp = components(star, "dense").select(F.col("node").alias("sid"), F.xxhash64("component").alias("dense"))
-    dense = stash(comp.join(comp.groupBy("dense").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "dense"), "groups")
+    star = spark.createDataFrame([], "a binary, b binary")
+    for more in stars:
+        star = star.union(more)
+    comp = components(star, "dense").select(F.col("node").alias("sid"), F.xxhash64("component").alias("dense")).join(classes.select("sid", "size").hint("merge"), "sid")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / MASS)).cast("int")
+    dense = stash(comp.join(comp.groupBy("dense").agg(blocks.alias("blocks")), "dense").drop("size"), "groups")
 
     known = leaves.groupBy("sid").agg(F.array_sort(F.collect_set("k")).alias("keys")).join(dense.select("sid", "dense"), "sid", "full")
-    info = stash(known.join(classes.drop("sketch"), "sid"), "info")
-    text = docs.select(F.col(key).alias("_k"), "text").join(info.select(F.col("rep").alias("_r")).distinct().hint("merge"), F.col("_k").eqNullSafe(F.col("_r")), "left_semi")
-
+    info = stash(known.join(classes.select("sid", "rep", "copies").hint("merge"), "sid"), "info")
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            us = [(set_id(u), u.tobytes()) for u in sets(b.column(0), n) if len(u)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in us], pa.binary()), pa.array([x[1] for x in us], pa.binary())], names=["sid", "tokens"])
+            for us in sets(b.column(0), n):
+                us = [u for u in us if len(u)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(u) for u in us], pa.binary()), pa.array([u.tobytes() for u in us], pa.binary())], names=["sid", "tokens"])
 
-    tokens = text.select("text").mapInArrow(whole, "sid binary, tokens binary")
+    tokens = texts_of(info).mapInArrow(whole, "sid binary, tokens binary")
     full = stash(info.join(tokens.dropDuplicates(["sid"]).hint("merge"), "sid"), "sets")
 
     block = F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int")
