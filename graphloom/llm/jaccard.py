@@ -328,7 +328,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: float
     the one with the smallest key. Rows without a word, and rows with a null key, stay;
     of repeated rows with one key and text, one stays. Rows with one key and different
     texts are different documents."""
-    row = F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("key"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")))
+    row = F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("key"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")))
     named = docs.withColumn("_id", row)
     links = jaccard_links(named.select("_id", "text"), "_id", n, threshold)
     gone = stash(links.where(F.col("_id") > F.col("class_id")).select(F.col("_id").alias("_gone")).distinct(), "gone")

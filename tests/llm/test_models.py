@@ -96,32 +96,86 @@ def test_forest_in_sql_votes_like_the_trees(spark):
     assert np.allclose(plain, sql)
 
 
+def plain_tiles(item, doc, least):
+    """Greedy string tiling word by word: the longest common unmarked run, first places first."""
+    a, b = [False] * len(item), [False] * len(doc)
+    while True:
+        best = (least - 1, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and not a[i + n] and not b[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return sum(a)
+        a[i : i + n] = b[j : j + n] = [True] * n
+
+
+def test_tiling_equals_the_plain_one():
+    r = random.Random(2)
+    for k in range(400):
+        few = r.choice([2, 3, 12])
+        item = [r.randint(1, few) for _ in range(r.randint(1, 24))]
+        doc = [r.randint(1, few) for _ in range(r.randint(0, 40))]
+        for _ in range(r.randint(0, 3)):
+            s = r.randrange(len(item))
+            at = r.randrange(len(doc) + 1)
+            doc[at:at] = item[s : s + r.randint(1, 12)]
+        least = r.choice([1, 2, 5])
+        got = dc.tile(np.array(item, np.uint64), np.array(doc, np.uint64), least)
+        assert got == plain_tiles(item, doc, min(least, len(item))), (item, doc, least)
+
+
 def test_tiling_catches_reordered_passages():
-    a = np.arange(40, dtype=np.uint64)
+    a = np.arange(1, 41, dtype=np.uint64)
     doc = np.concatenate([[100, 101], a[20:40], [102], a[:20]]).astype(np.uint64)
-    starts = [(i, j) for i in range(36) for j in range(len(doc) - 4) if (a[i : i + 5] == doc[j : j + 5]).all()]
-    assert dc.tile(a, doc, starts, 5) == 40
-    assert dc.tile(a, doc[:12], [s for s in starts if s[1] + 5 <= 12], 5) == 10
+    assert dc.tile(a, doc, 5) == 40
+    assert dc.tile(a, doc[:12], 5) == 10
+
+
+def test_repetitive_texts_are_tiled_in_little_memory():
+    import tracemalloc
+
+    item, doc = np.full(2000, 7, np.uint64), np.full(300_000, 7, np.uint64)
+    doc[::1500] = 8
+    tracemalloc.start()
+    assert dc.tile(item, doc, 5) == 2000
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
 
 
-def test_tiles_do_not_overlap():
-    a = np.array([1, 2, 3, 4, 5, 6, 7, 8], np.uint64)
-    doc = np.array([1, 2, 3, 4, 5, 6, 9, 4, 5, 6, 7, 8], np.uint64)
-    starts = [(i, j) for i in range(4) for j in range(8) if (a[i : i + 5] == doc[j : j + 5]).all()]
-    assert dc.tile(a, doc, starts, 5) == 6  # the second run's rest is shorter than five
+def brute_coverage(docs, items, least=5, threshold=0.8):
+    split = lambda t: re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
+    out = []
+    for key, text in docs:
+        doc, got = split(text), []
+        for k, t in items:
+            if item := split(t):
+                if c := plain_tiles(item, doc, min(least, len(item))) / len(item):
+                    got.append((-c, k is None, k))
+        best = min(got, default=(0.0, True, None))
+        out.append((key, round(-best[0], 9), best[2], sum(-c >= threshold for c, *_ in got)))
+    return sorted(out, key=str)
 
 
 def test_decontaminate(spark, docs, none):
     item = "the quick brown fox jumps over one lazy dog near that old river bank"
-    bench = spark.createDataFrame([(1, item, 0), (2, None, 0), (3, "", 0), (4, "one two", 0), (5, item, 0)], "item_id long, text string, _n_items int")
-    more = docs.unionByName(spark.createDataFrame([(50, "Zzz. " + item.upper() + "!", "en", "s", 1, "k", "v", 1), (51, " ".join(item.split()[:6]), "en", "s", 1, "k", "v", 1)], docs.schema))
-    for blocks in (dc.BLOCK_WORDS, 20):
-        got = {r.doc_id: (r._coverage, r._item, r._n_items) for r in dc.decontaminate(more, bench, block_words=blocks).collect()}
-        assert got[50] == (1.0, 1, 2)
-        assert got[51][2] == 0 and abs(got[51][0] - 6 / 14) < 1e-9
-        assert all(v == (0.0, None, 0) for k, v in got.items() if k not in (50, 51))
-    assert dc.decontaminate(none, bench).count() == 0
-    assert {r._coverage for r in dc.decontaminate(docs, bench.limit(0)).collect()} == {0.0}
+    bench = [(1, item), (2, None), (3, ""), (4, "one two"), (5, item), (None, "lazy dog"), (6, "río né"), (6, "tango tango tango tango tango tango")]
+    df = spark.createDataFrame([(*x, 0) for x in bench], "item_id long, text string, _n_items int")
+    words = item.split()
+    new = [(50, "Zzz. " + item.upper() + "!"), (51, " ".join(words[:6])), (52, " ".join(words[7:] + ["x"] + words[:7])), (53, "tango " * 5000), (54, "x RÍO NÉ"), (None, item), (50, "Zzz. " + item.upper() + "!")]
+    more = docs.unionByName(spark.createDataFrame([(k, t, "en", "s", 1, "k", "v", 1) for k, t in new], docs.schema))
+    got = dc.decontaminate(more, df)
+    assert got.columns == [*more.columns, "_coverage", "_item", "_n_items"]
+    rows = [(r.doc_id, r.text) for r in more.collect() if r.doc_id not in (9, 53)]
+    have = sorted([(r.doc_id, round(r._coverage, 9), r._item, r._n_items) for r in got.collect() if r.doc_id not in (9, 53)], key=str)
+    assert have == brute_coverage(rows, bench)
+    assert {(r._coverage, r._item, r._n_items) for r in got.where("doc_id = 53").collect()} == {(1.0, 6, 1)}
+    assert dc.decontaminate(none, df).count() == 0
+    assert {r._coverage for r in dc.decontaminate(docs, df.limit(0)).collect()} == {0.0}
 
 
 def test_quality(spark, none):
