@@ -8,8 +8,10 @@ neighbours among them, so that no crowd of near copies takes all pivots; every v
 indexed. A pair is counted under the least subset that it shares, which both sides know,
 so nothing is written out for pairs. Large lists are compared in pairs of blocks.
 
-Measured on 64 dimensions with 450 pivots (tests): the recall of pairs at cosine 0.955 is
-about 0.97, from 0.98 on above 0.99.
+Vectors of each length have pivots of their own and never meet those of another.
+
+Recall of pairs at cosine 0.95 to 0.96 in 64 dimensions (measured in the tests): 0.99
+with 512 pivots, 0.97 with 4096; from 0.97 on above 0.99.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import components, groups, prepare, stash
 from graphloom.llm.jaccard import roots
 
-NEAREST, SHARED = 7, 3
-MOST_PIVOTS = 512
-#: Vectors from which pivots are chosen, at most: the least hashes of distinct ones.
-SAMPLE = 4 * MOST_PIVOTS
+NEAREST, SHARED = 8, 3
+#: Pivots of vectors of one length: twice the root of their number, from 16 to so many.
+MOST_PIVOTS = 4096
+#: Vectors of one length from which each pivot is chosen: those with the least hashes.
+SAMPLE = 4
 BLOCK = 1024
 
 
@@ -43,14 +46,20 @@ def choose_pivots(sample: np.ndarray, wanted: int, close: float = 0.8) -> np.nda
     return sample[taken]
 
 
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
+    """Numbers of the ``depth`` nearest pivots of unit vectors, in ascending order."""
+    return np.sort(np.argpartition(-(x @ pivots.T), depth - 1, axis=1)[:, :depth], axis=1)
+
+
 def unit_rows(raw: list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def compare(t: pa.Table, threshold: float, shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compare(t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one list or pair of blocks: rows with links, their roots, link counts."""
     pivots = np.array(t.column("pivots").to_pylist(), np.int64)
+    shared = t.column("need")[0].as_py()
     last = int(t.column("last")[0].as_py())
     side = t.column("side").to_numpy()
     kinds, of = np.unique(np.where(pivots <= last, pivots, -1), axis=0, return_inverse=True)
@@ -78,45 +87,51 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
     ``threshold`` that the index retrieves, and the smallest key reachable by links.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with
-    nothing, as do vectors without the commonest number of components. Equal vectors link.
-    Repeated rows are equal vectors; null keys count but never name a component of others.
+    nothing, and none links with one of another length. Equal vectors link. Repeated rows
+    are equal vectors; null keys count but never name a component of others.
     """
     spark = vectors.sparkSession
     prepare(spark)
     v = F.col(column)
     ok = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(key), F.when(ok, F.transform(v, lambda x: x.cast("double") + F.lit(0.0))).alias("v"))
-    common = rows.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = common[0] if common else 0
-    rows = rows.withColumn("v", F.when(F.size("v") == dim, F.col("v")))
 
     # equal vectors are one class
     classes = stash(rows.where("v is not null").groupBy("v").agg(F.min(key).alias("rep"), F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id()), "vectors")
-    n = classes.count()
-    sample = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(4 * most_pivots).collect()
-    points = np.array([r[0] for r in sample], np.float64).reshape(len(sample), dim)
-    points = points / np.sqrt(np.einsum("ij,ij->i", points, points))[:, None] if len(points) else points
-    pivots = choose_pivots(points, min(most_pivots, max(16, int(2 * n**0.5))))
-    depth = min(nearest, len(pivots))
-    need = min(shared, depth)
-    held = spark.sparkContext.broadcast(pivots)
+    sizes = {r[0]: r[1] for r in classes.groupBy(F.size("v")).count().collect()}  # by length
+    wanted = {d: min(most_pivots, max(16, int(2 * n**0.5))) for d, n in sizes.items()}
+    known: dict[int, tuple[np.ndarray, int]] = {}
+    for d, n in sizes.items():
+        sample = classes.where(F.size("v") == d).select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE * wanted[d]).collect()
+        points = np.array([r[0] for r in sample], np.float64).reshape(len(sample), d)
+        points /= np.sqrt(np.einsum("ij,ij->i", points, points))[:, None]
+        pivots = choose_pivots(points, wanted[d])
+        known[d] = pivots, min(nearest, len(pivots))
+    held = spark.sparkContext.broadcast(known)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.ascontiguousarray(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1))
-            near = (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]) @ held.value.T
-            top = np.sort(np.argpartition(-near, depth - 1, axis=1)[:, :depth], axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(top.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array([r.tobytes() for r in x], pa.binary()), b.column(2)], names=["id", "pivots", "v", "copies"]
-            )
-
-    index = stash(classes.select("id", "v", "copies").mapInArrow(describe, "id long, pivots array<int>, v binary, copies long"), "index")
-    subsets = [F.struct(F.xxhash64(*(F.col("pivots")[i] for i in s)).alias("unit"), F.col("pivots")[s[-1]].alias("last")) for s in combinations(range(depth), need) if s]
-    lists = index.select("id", F.explode(F.array(*subsets)).alias("k")).select("id", "k.unit", "k.last") if subsets and n else spark.createDataFrame([], "id long, unit long, last int")
-    sizes = lists.groupBy("unit").agg(F.count("*").alias("c")).where("c > 1")
+            length = b.column(1).value_lengths().to_numpy()
+            for d in np.unique(length).tolist():
+                own = b.filter(pa.array(length == d))
+                pivots, depth = held.value[d]
+                x = np.ascontiguousarray(own.column(1).flatten().to_numpy().reshape(-1, d))
+                top = nearest_pivots(x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], pivots, depth)
+                need = np.full(len(x), min(shared, depth), np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0), pa.array(top.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array([r.tobytes() for r in x], pa.binary()), own.column(2), pa.array(need)], names=["id", "pivots", "v", "copies", "need"]
+                )
+
+    index = stash(classes.select("id", "v", "copies").mapInArrow(describe, "id long, pivots array<int>, v binary, copies long, need int"), "index")
+    subsets = [
+        F.when((F.col("need") == k) & (F.size("pivots") > s[-1]), F.struct(F.xxhash64(F.length("v"), *(F.get("pivots", F.lit(i)) for i in s)).alias("unit"), F.get("pivots", F.lit(s[-1])).alias("last")))
+        for k in range(1, shared + 1) for s in combinations(range(nearest), k)
+    ]
+    lists = index.select("id", F.explode(F.array(*subsets)).alias("k")).where("k is not null").select("id", "k.unit", "k.last")
+    counted = stash(lists.groupBy("unit").agg(F.count("*").alias("c")).where("c > 1"), "lists")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", "unit"), F.col("blocks")).cast("int")
-    met = lists.join(sizes, "unit").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = lists.join(counted, "unit").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select(
         "id", F.when(F.col("blocks") == 1, F.col("unit")).otherwise(F.xxhash64("unit", F.least("own", "other"), F.greatest("own", "other"))).alias("unit"),
         "last", (F.col("own") > F.col("other")).cast("int").alias("side"),
@@ -125,11 +140,11 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, "unit"):
             if t.num_rows > 1:
-                at, root, links = compare(t, threshold, need)
+                at, root, links = compare(t, threshold)
                 ids = t.column("id").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[root]), pa.array(links)], names=["a", "b", "links"])
 
-    found = stash(met.join(index, "id").repartition("unit").sortWithinPartitions("unit").select("unit", "id", "last", "side", "pivots", "v", "copies").mapInArrow(verify, "a long, b long, links long"), "near")
+    found = stash(met.join(index, "id").repartition("unit").sortWithinPartitions("unit").select("unit", "id", "last", "side", "need", "pivots", "v", "copies").mapInArrow(verify, "a long, b long, links long"), "near")
     linked = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     graph = components(found.select("a", "b"), "near")
     named = classes.join(graph.withColumnRenamed("node", "id"), "id", "left").join(linked, "id", "left")

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 from graphloom.llm import decontaminate as dc
 from graphloom.llm import pii, pivots, quality, secrets
@@ -208,6 +209,50 @@ def test_pivot_choice_has_no_crowd():
     assert len(p) == 64 and s.max() <= 0.8
 
 
+@pytest.mark.parametrize("most, least", [(512, 0.98), (4096, 0.95)])
+def test_recall_at_the_threshold(most, least):
+    """Pairs at cosine 0.95 to 0.96 alone, by the index's own descriptions."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    points = pivots.choose_pivots(unit(rng.normal(size=(pivots.SAMPLE * most, 64))), most)
+    assert len(points) == most
+    x = unit(rng.normal(size=(2000, 64)))
+    side = rng.normal(size=x.shape)
+    side = unit(side - (side * x).sum(1)[:, None] * x)
+    c = rng.uniform(0.95, 0.96, (2000, 1))
+    y = c * x + np.sqrt(1 - c * c) * side
+    a, b = (pivots.nearest_pivots(v, points, pivots.NEAREST) for v in (x, y))
+    met = np.mean([len(set(p) & set(q)) >= pivots.SHARED for p, q in zip(a.tolist(), b.tolist(), strict=True)])
+    assert met >= least
+
+
+def test_vectors_of_every_length_are_compared(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=24).tolist()) for k in range(50)]
+    rows += [(100, [1.0, 2.0]), (101, [2.0, 4.01]), (102, [2.0, -1.0]), (103, [7.0]), (104, [9.0]), (105, [-1.0])]
+    rows += [(200 + k, [1.0, 0.0, 0.001 * k]) for k in range(9)] + [(None, [1.0, 2.0]), (50, rows[7][1]), (50, rows[7][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.vec_id, r.n_links, r.component_id) for r in pivots.near_vectors(df).collect()}
+    assert {(100, 2, 100), (101, 2, 100), (None, 2, 100), (102, 0, 102), (103, 1, 103), (104, 1, 103), (105, 0, 105)} <= got
+    assert all((200 + k, 8, 200) in got for k in range(9))
+    assert {(7, 2, 7), (50, 2, 7)} <= got
+
+
+def test_links_near_the_threshold_alone(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "BLOCK", 4)
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x = unit(rng.normal(size=(400, 64)))
+    side = rng.normal(size=x.shape)
+    side = unit(side - (side * x).sum(1)[:, None] * x)
+    c = rng.uniform(0.951, 0.96, (400, 1))
+    both = np.concatenate([x, c * x + np.sqrt(1 - c * c) * side])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(both)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_vectors(df).collect()}
+    met = sum(got[k] == (1, k) and got[400 + k] == (1, k) for k in range(400))
+    assert met >= 0.95 * 400
+
+
 def test_near_vectors(spark, monkeypatch):
     monkeypatch.setattr(pivots, "BLOCK", 16)
     rng = np.random.default_rng(2)
