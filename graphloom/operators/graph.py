@@ -7,13 +7,12 @@ its callees. Iterative operators write each round's frontier to the shared folde
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.storage import write_table
+
 #: The name parts of the known design patterns.
 PATTERN_WORDS = ("factory", "singleton", "observer", "repository", "plugin")
 
@@ -24,15 +23,8 @@ def kept(df: DataFrame, project: str = "", column: str = "project") -> DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write an intermediate table to the folder of ``spark.checkpoint.dir`` and read it."""
-    spark = df.sparkSession
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    path = f"{d.rstrip('/')}/graph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write an intermediate table to the shared folder and read it."""
+    return write_table(df, "graph")
 
 
 def resolve_calls(functions: DataFrame, calls: DataFrame) -> DataFrame:
