@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -15,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.storage import drop_table, write_table
+
 #: Rows of an Arrow batch between the JVM and Python: texts are long, so few.
 BATCH_ROWS = 1000
 
@@ -28,40 +28,20 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (tests, single machine) a temporary folder is made and set.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
-
-
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage durably: a lost executor costs a re-read, never a recomputation.
     Shuffles that only fed the written table become garbage, and are collected.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    schema = df.schema
+    out = write_table(df, tag, "zstd")
     del df
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stashed table that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {os.path.dirname(x) for x in df.inputFiles()}:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+discard = drop_table
 
 
 def running_sum(df: DataFrame, order: list[Column], value: str, out: str, tag: str) -> DataFrame:
