@@ -157,4 +157,18 @@ links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y
 FROM embeddings LEFT JOIN c ON c.x = vec_id LEFT JOIN n ON n.a = vec_id"""
 )
 
-ORACLE_SQL = {"op1_jaccard_join": JACCARD_SQL, "op2_near_vectors": VECTOR_SQL, "op5_chat_format": CHAT_SQL, "op7_line_dedup": LINE_SQL}
+#: Texts as hexadecimal digits, two for a byte, as functions of strings don't take blobs.
+SUBSTRING_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, 400)) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS p FROM d WHERE length(h) >= 400)),
+r AS (SELECT doc_id, p FROM w WHERE x IN (SELECT x FROM w GROUP BY x HAVING count(*) > 1)),
+g AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200, true)::INT AS new FROM r),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g),
+s AS (SELECT doc_id, k, min(p) AS s, max(p) + 200 AS e FROM i GROUP BY 1, 2),
+n AS (SELECT doc_id, list(struct_pack(s := s, e := e) ORDER BY s) AS l FROM s GROUP BY 1)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(list_sum(list_transform(l, lambda x: x.e - x.s)), 0)::BIGINT AS n_removed, coalesce(len(l), 0) AS n_spans,
+  sha256(unhex(CASE WHEN l IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(l) + 1), lambda j:
+    substr(h, CASE WHEN j = 0 THEN 1 ELSE 2 * l[j].e + 1 END, CASE WHEN j = len(l) THEN length(h) ELSE 2 * l[j + 1].s - CASE WHEN j = 0 THEN 0 ELSE 2 * l[j].e END END)), '') END)) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id)"""
+
+ORACLE_SQL = {"op9_substrings": SUBSTRING_SQL, "op1_jaccard_join": JACCARD_SQL, "op2_near_vectors": VECTOR_SQL, "op5_chat_format": CHAT_SQL, "op7_line_dedup": LINE_SQL}
