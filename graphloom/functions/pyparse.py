@@ -58,8 +58,8 @@ def parse_python(text: str) -> dict:
             out["function_calls"].append({"name": n.name, "line": n.lineno, "calls": sorted(own_calls(n))})
         elif isinstance(n, ast.Import):
             out["imports"] += [a.name for a in n.names]
-        elif isinstance(n, ast.ImportFrom):
-            out["imports"].append(n.module or "")
+        elif isinstance(n, ast.ImportFrom) and n.module:
+            out["imports"].append(n.module)
         elif isinstance(n, ast.Call) and (name := call_name(n)):
             out["calls"].append(name)
     return out

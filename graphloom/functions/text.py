@@ -148,3 +148,40 @@ def report_blocks(df: DataFrame, key: str, mark: str = "EVALUATING: ", text: str
     get = lambda n: F.trim(F.regexp_extract("b", rf"(?m)^\s*{n}:\s*(.*)$", 1))
     out = b.select(key, "pos", F.trim(F.regexp_extract("b", r"^([^\n]*)", 1)).alias("subject"), get("Current Location").alias("location"), get("RECOMMENDED HOME").alias("home"))
     return out.where("location <> ''")
+
+
+def safe_label(value: Column) -> Column:
+    """Letters, digits and '_' of a label; Entity if none is left."""
+    return F.coalesce(F.nullif(F.regexp_replace(value, r"[^\p{L}\p{N}_]", ""), F.lit("")), F.lit("Entity"))
+
+
+def slug(value: Column) -> Column:
+    """Other characters than letters, digits, '-' and '_' become '-'; none stands at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.trim(value), r"[^\p{L}\p{N}_-]", "-"), "^[-_]+|[-_]+$", "")
+
+
+def duration(seconds: Column) -> Column:
+    """Milliseconds below a second, seconds below a minute, else minutes and seconds; ties
+    are rounded to the even digit."""
+    minutes = F.floor(seconds / 60)
+    rest = F.format_string("%dm %.1fs", minutes, F.bround(seconds - minutes * 60, 1))
+    return F.when(seconds < 1, F.format_string("%.1fms", F.bround(seconds * 1000, 1))).when(seconds < 60, F.format_string("%.2fs", F.bround(seconds, 2))).otherwise(rest)
+
+
+def tail(text: Column, n: int = 20) -> Column:
+    """The last n lines that aren't blank."""
+    kept = F.filter(split_lines(text), lambda x: F.trim(x) != "")
+    return F.array_join(F.when(F.size(kept) > n, F.slice(kept, -n, n)).otherwise(kept), "\n")
+
+
+def split_lines(text: Column) -> Column:
+    """Lines at every line end that text knows, a final one not starting a line."""
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, "(\r\n|[\n\u000b\u000c\r\u001c-\u001e\u0085\u2028\u2029])\\z", ""), "\r\n|[\n\u000b\u000c\r\u001c-\u001e\u0085\u2028\u2029]"))
+
+
+def like_prefix(value: Column, prefix: str) -> Column:
+    """SQL LIKE with a prefix, as ASCII case goes: '_' and '%' in it are wildcards."""
+    import re as _re
+
+    body = "".join("." if c == "_" else ".*" if c == "%" else _re.escape(c) for c in prefix)
+    return value.rlike("(?s)(?i)^" + body)

@@ -26,14 +26,15 @@ def parent_dir(path: Column) -> Column:
     return F.when(d == "", ".").otherwise(d)
 
 
-def _node(label: str, uid: Column, props: Column) -> list[Column]:
-    none = F.lit(None).cast("string")
-    return [F.lit("node").alias("kind"), F.lit(label).alias("label"), uid.alias("uid"), none.alias("type"), none.alias("src_label"), none.alias("src_uid"), none.alias("dst_label"), none.alias("dst_uid"), props.alias("props")]
-
-
-def _edge(kind: str, a: str, src: Column, b: str, dst: Column) -> list[Column]:
-    none = F.lit(None).cast("string")
-    return [F.lit("edge").alias("kind"), none.alias("label"), none.alias("uid"), F.lit(kind).alias("type"), F.lit(a).alias("src_label"), src.alias("src_uid"), F.lit(b).alias("dst_label"), dst.alias("dst_uid"), F.lit(None).cast("map<string,string>").alias("props")]
+def _event(branch: int, i: Column | int, kind: str, label: str | None = None, uid: Column | None = None, type_: str | None = None, ends: tuple | None = None, props: Column | None = None) -> Column:
+    """One event as a struct; all have the same fields."""
+    text = lambda x: F.lit(None).cast("string") if x is None else F.lit(x) if isinstance(x, str) else x
+    src_label, src, dst_label, dst = ends or (None, None, None, None)
+    return F.struct(
+        F.lit(branch).alias("branch"), (F.lit(i) if isinstance(i, int) else i).cast("long").alias("i"), F.lit(kind).alias("kind"), text(label).alias("label"), text(uid).alias("uid"), text(type_).alias("type"),
+        text(src_label).alias("src_label"), text(src).alias("src_uid"), text(dst_label).alias("dst_label"), text(dst).alias("dst_uid"),
+        (F.lit(None).cast("map<string,string>") if props is None else props).alias("props"),
+    )
 
 
 def _map(**kv: Column) -> Column:
@@ -48,39 +49,40 @@ def events(ast: DataFrame, relations: bool = True) -> DataFrame:
     """
     a = ast.withColumn("file_pos", F.xxhash64("project", "rel_path")) if "file_pos" not in ast.columns else ast
     a = a.withColumn("fu", file_uid())
-    f = a.select("file_pos", "project", "rel_path", "fu", F.posexplode("functions").alias("i", "fn")).withColumn("uid", function_uid(F.col("fu"), F.col("fn.name"), F.col("fn.line")))
-    project, fu, uid = F.col("project"), F.col("fu"), F.col("uid")
-
-    def at(branch: int, i: Column | int = 0) -> list[Column]:
-        return ["file_pos", F.lit(branch).alias("branch"), (F.lit(i) if isinstance(i, int) else i).cast("int").alias("i")]
-
-    parts = [
-        a.select(*at(0), *_node("Project", project, _map(name=project))),
-        a.select(*at(1), *_node("File", fu, _map(uid=fu, project=project, path=F.col("path"), rel_path=F.col("rel_path"), language=F.col("language"), line_count=F.col("line_count")))),
-        a.select(*at(2), *_edge("CONTAINS", "Project", project, "File", fu)),
-        f.select(*at(3, F.col("i") * 2), *_node("Function", uid, _map(uid=uid, name=F.col("fn.name"), line=F.col("fn.line"), project=project, file_uid=fu, signature_hash=signature(project, F.col("rel_path"), F.col("fn.name"))))),
-        f.select(*at(3, F.col("i") * 2 + 1), *_edge("DEFINES", "File", fu, "Function", uid)),
-    ]
-    per = a.select("file_pos", "project", "rel_path", "fu", F.posexplode("function_calls").alias("fi", "fc")).withColumn("uid", function_uid(F.col("fu"), F.col("fc.name"), F.col("fc.line")))
-    called = per.select("file_pos", "project", "rel_path", "fi", "uid", F.posexplode("fc.calls").alias("ci", "callee"))
+    project, fu, rel = F.col("project"), F.col("fu"), F.col("rel_path")
+    edge = lambda branch, i, kind, *ends: _event(branch, i, "edge", type_=kind, ends=ends)
+    uid_of = lambda x: function_uid(fu, x["name"], x["line"])
+    symbol = lambda c: F.concat(F.lit("symbol:"), c)
+    module = lambda m: F.concat(F.lit("module:"), m)
+    node = lambda branch, i, label, uid, **kv: _event(branch, i, "node", label, uid, props=_map(uid=uid, **kv))
+
+    # all events of a file are one array of structs, so the files are scanned once
+    head = F.array(
+        _event(0, 0, "node", "Project", project, props=_map(name=project)),
+        node(1, 0, "File", fu, project=project, path=F.col("path"), rel_path=rel, language=F.col("language"), line_count=F.col("line_count")),
+        edge(2, 0, "CONTAINS", "Project", project, "File", fu),
+    )
+    defined = F.flatten(F.transform("functions", lambda x, i: F.array(
+        node(3, i * 2, "Function", uid_of(x), name=x["name"], line=x["line"], project=project, file_uid=fu, signature_hash=signature(project, rel, x["name"])),
+        edge(3, i * 2 + 1, "DEFINES", "File", fu, "Function", uid_of(x)),
+    )))
+    parts = [head, defined]
     if relations:
-        sym, callee = F.concat(F.lit("symbol:"), F.col("callee")), F.col("callee")
-        place = F.col("fi") * 100000 + F.col("ci")
-        mods = a.select("file_pos", "fu", F.posexplode("imports").alias("i", "m")).withColumn("uid", F.concat(F.lit("module:"), F.col("m")))
-        top = a.select("file_pos", "fu", F.posexplode("calls").alias("i", "callee"))
-        parts += [
-            called.select(*at(4, place), *_node("Symbol", sym, _map(uid=sym, name=callee))), called.select(*at(5, place), *_edge("CALLS", "Function", uid, "Symbol", sym)),
-            mods.select(*at(6, F.col("i")), *_node("Module", uid, _map(uid=uid, name=F.col("m")))), mods.select(*at(7, F.col("i")), *_edge("IMPORTS", "File", fu, "Module", uid)),
-            top.select(*at(8, F.col("i")), *_node("Symbol", sym, _map(uid=sym, name=callee))), top.select(*at(9, F.col("i")), *_edge("CALLS", "File", fu, "Symbol", sym)),
-        ]
-    known = f.select("project", parent_dir(F.col("rel_path")).alias("dir"), F.col("fn.name").alias("callee"), F.col("uid").alias("dst"))
-    asked = called.select("project", parent_dir(F.col("rel_path")).alias("dir"), "callee", F.col("uid").alias("src"))
+        place = lambda fi, ci: fi.cast("long") * (1 << 31) + ci
+        parts.append(F.flatten(F.transform("function_calls", lambda x, fi: F.flatten(F.transform(x["calls"], lambda c, ci: F.array(
+            node(4, place(fi, ci), "Symbol", symbol(c), name=c), edge(5, place(fi, ci), "CALLS", "Function", uid_of(x), "Symbol", symbol(c)),
+        ))))))
+        parts.append(F.flatten(F.transform("imports", lambda m, i: F.array(node(6, i, "Module", module(m), name=m), edge(7, i, "IMPORTS", "File", fu, "Module", module(m))))))
+        parts.append(F.flatten(F.transform("calls", lambda c, i: F.array(node(8, i, "Symbol", symbol(c), name=c), edge(9, i, "CALLS", "File", fu, "Symbol", symbol(c))))))
+    out = a.select("file_pos", F.inline(F.concat(*(F.coalesce(p, F.slice(head, 1, 0)) for p in parts))))
+
+    f = a.select("project", "rel_path", "fu", F.explode("functions").alias("fn"))
+    known = f.select("project", parent_dir(rel).alias("dir"), F.col("fn.name").alias("callee"), function_uid(F.col("fu"), F.col("fn.name"), F.col("fn.line")).alias("dst"))
+    per = a.select("project", "rel_path", "fu", F.explode("function_calls").alias("fc"))
+    asked = per.select("project", parent_dir(rel).alias("dir"), F.explode("fc.calls").alias("callee"), function_uid(F.col("fu"), F.col("fc.name"), F.col("fc.line")).alias("src"))
     pairs = asked.join(known, ["project", "dir", "callee"]).where("src <> dst").select("src", "dst").distinct()
-    parts.append(pairs.select(F.lit(1 << 62).cast("long").alias("file_pos"), F.lit(10).alias("branch"), F.lit(0).alias("i"), *_edge("CALLS_FUNCTION", "Function", F.col("src"), "Function", F.col("dst"))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*EVENT.fieldNames())
+    resolved = pairs.select(F.lit(1 << 62).cast("long").alias("file_pos"), _event(10, 0, "edge", type_="CALLS_FUNCTION", ends=("Function", F.col("src"), "Function", F.col("dst"))).alias("e")).select("file_pos", "e.*")
+    return out.unionByName(resolved).select(*EVENT.fieldNames())
 
 
 def identity() -> Column:

@@ -7,9 +7,12 @@ its callees. Iterative operators write each round's frontier to the shared folde
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.storage import write_table
 
@@ -176,15 +179,33 @@ def impact_summary(functions: DataFrame, calls: DataFrame, edges: DataFrame, sym
 
 def file_impact(functions: DataFrame, calls: DataFrame, edges: DataFrame) -> DataFrame:
     """For each file: functions, distinct callers by resolved calls and by symbol name from
-    outside of the file, and whether it is safe to move."""
-    own = functions.select(F.col("uid").alias("dst"), "file_uid", "name")
+    outside of the file, and whether it is safe to move.
+
+    Files with the same set of function names have the same callers by name but for their
+    own: callers are counted once for each set, from a count for each name where the set
+    is one name, and each file's own callers are taken off.
+    """
+    own = functions.select(F.col("uid").alias("dst"), "file_uid")
     src = functions.select(F.col("uid").alias("src"), F.col("file_uid").alias("from_file"))
     by_edge = edges.join(own, "dst").join(src, "src").where("from_file <> file_uid").groupBy("file_uid").agg(F.count_distinct("src").alias("callers"))
-    names = own.select("file_uid", F.col("name").alias("callee")).distinct()
-    by_name = calls.join(src, "src").join(names, "callee").where("from_file <> file_uid").groupBy("file_uid").agg(F.count_distinct("src").alias("symbol_callers"), F.count_distinct("from_file").alias("symbol_files"))
+
+    files = functions.groupBy("file_uid").agg(F.count("*").alias("functions"), F.array_sort(F.collect_set("name")).alias("names"))
+    made = calls.join(src, "src").select("callee", "src", "from_file").distinct()
+
+    def counted(d: DataFrame, key: str) -> DataFrame:
+        # a caller lies in one file, so its files are counted on the way
+        return d.groupBy(key, "from_file").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("all_callers"), F.count("*").alias("all_files"))
+
+    one = counted(made, "callee").select(F.array("callee").alias("names"), "all_callers", "all_files")
+    sets = files.where(F.size("names") > 1).select("names").distinct()
+    several = made.join(sets.select("names", F.explode("names").alias("callee")), "callee").select("names", "src", "from_file").distinct()
+    total = one.union(counted(several, "names"))
+    inside = made.join(functions.select(F.col("file_uid").alias("from_file"), F.col("name").alias("callee")).distinct(), ["from_file", "callee"])
+    inside = inside.groupBy(F.col("from_file").alias("file_uid")).agg(F.count_distinct("src").alias("own_callers"))
     zero = F.lit(0).cast("long")
-    out = functions.groupBy("file_uid").agg(F.count("*").alias("functions")).join(by_edge, "file_uid", "left").join(by_name, "file_uid", "left")
-    out = out.withColumns({c: F.coalesce(c, zero) for c in ("callers", "symbol_callers", "symbol_files")})
+    out = files.join(total, "names", "left").join(inside, "file_uid", "left").join(by_edge, "file_uid", "left")
+    out = out.withColumns({c: F.coalesce(c, zero) for c in ("callers", "all_callers", "all_files", "own_callers")})
+    out = out.select("file_uid", "functions", "callers", (F.col("all_callers") - F.col("own_callers")).alias("symbol_callers"), (F.col("all_files") - (F.col("own_callers") > 0).cast("long")).alias("symbol_files"))
     return out.withColumn("safe", ((F.col("callers") == 0) & (F.col("symbol_callers") == 0) & (F.col("symbol_files") == 0)).cast("int"))
 
 
@@ -257,15 +278,101 @@ def trimmed(edges: DataFrame) -> DataFrame:
     return e
 
 
+#: Graphs of so many edges at most are solved in one task; larger ones in rounds of joins.
+ONE_TASK = 500_000
+
+
+def _numbered(batches) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct node names, and the edges (src, dst) by their numbers, ordered by src."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    t = pa.Table.from_batches(got)
+    both = pa.chunked_array([*t.column("src").chunks, *t.column("dst").chunks]).combine_chunks().dictionary_encode()
+    at = both.indices.to_numpy().astype(np.int64)
+    src, dst = at[: t.num_rows], at[t.num_rows :]
+    order = np.argsort(src, kind="stable")
+    return both.dictionary, src[order], dst[order]
+
+
+def _strong(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Component number of each node, in reverse topological order, by one depth-first walk."""
+    first = np.searchsorted(src, np.arange(n + 1)).tolist()
+    to = dst.tolist()
+    seen, low, comp = [0] * n, [0] * n, [-1] * n
+    stack, count, done = [], 0, 0
+    for root in range(n):
+        if seen[root]:
+            continue
+        count += 1
+        seen[root] = low[root] = count
+        stack.append(root)
+        walk = [(root, first[root])]
+        while walk:
+            v, i = walk.pop()
+            if i < first[v + 1]:
+                walk.append((v, i + 1))
+                w = to[i]
+                if not seen[w]:
+                    count += 1
+                    seen[w] = low[w] = count
+                    stack.append(w)
+                    walk.append((w, first[w]))
+                elif comp[w] < 0 and seen[w] < low[v]:
+                    low[v] = seen[w]
+                continue
+            if low[v] == seen[v]:
+                while True:
+                    w = stack.pop()
+                    comp[w] = done
+                    if w == v:
+                        break
+                done += 1
+            if walk and low[v] < low[walk[-1][0]]:
+                low[walk[-1][0]] = low[v]
+    return np.array(comp, np.int64)
+
+
+def _components_in_one_task(batches):
+    names, src, dst = _numbered(batches)
+    if len(names):
+        comp = _strong(len(names), src, dst)
+        size = np.bincount(comp)
+        order = pc.sort_indices(names).to_numpy()
+        greatest = np.zeros(len(size), np.int64)
+        greatest[comp[order]] = order  # the last one written is the greatest
+        on = np.flatnonzero(size[comp] > 1)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(on)), names.take(pa.array(greatest[comp[on]]))], names=["uid", "scc"])
+
+
+def _depths_in_one_task(batches):
+    names, src, dst = _numbered(batches)
+    if len(names):
+        comp = _strong(len(names), src, dst)
+        a, b = comp[src], comp[dst]
+        keep = a != b
+        depth = [0] * (int(comp.max()) + 1)
+        order = np.argsort(a[keep], kind="stable")
+        # a component's number is greater than those it leads to
+        for x, y in zip(a[keep][order].tolist(), b[keep][order].tolist(), strict=True):
+            if depth[y] >= depth[x]:
+                depth[x] = depth[y] + 1
+        yield pa.RecordBatch.from_arrays([names, pa.array(np.array(depth, np.int64)[comp])], names=["uid", "depth"])
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """(uid, scc): the strong component of every node on a cycle through other nodes, named
-    by its greatest node.
+    by its greatest node. Small graphs are walked in one task; larger ones go in rounds.
 
     Each node takes the greatest node that reaches it; what reaches that node inside one
     label is its component, and the rest goes on. Rounds grow with the length of paths,
     rows of a round only with the edges.
     """
-    e = trimmed(edges.where("src <> dst").select("src", "dst").distinct())
+    e = settle(edges.where("src <> dst").select("src", "dst").distinct())
+    if e.count() <= ONE_TASK:
+        name = e.schema["src"].dataType
+        return e.coalesce(1).mapInArrow(_components_in_one_task, T.StructType().add("uid", name).add("scc", name))
+    e = trimmed(e)
     out = e.select(F.col("src").alias("uid"), F.col("src").alias("scc")).limit(0)
     while not e.isEmpty():
         label = settle(e.select(F.col("src").alias("uid")).distinct().select("uid", F.col("uid").alias("scc"), F.lit(True).alias("moved")))
@@ -294,8 +401,10 @@ def in_cycle(edges: DataFrame) -> DataFrame:
 def longest_depth(edges: DataFrame) -> DataFrame:
     """(uid, depth): edges on the longest path from each node. Strong components count as
     one node, so edges inside a cycle add nothing; there are as many rounds as the longest
-    path has edges, so at most one for each node."""
+    path has edges, so at most one for each node; small graphs are solved in one task."""
     e = settle(edges.where("src <> dst").select("src", "dst").distinct())
+    if e.count() <= ONE_TASK:
+        return e.coalesce(1).mapInArrow(_depths_in_one_task, T.StructType().add("uid", e.schema["src"].dataType).add("depth", "long"))
     nodes = e.select(F.col("src").alias("uid")).union(e.select("dst")).distinct()
     names = settle(nodes.join(strong_components(e), "uid", "left").select("uid", F.coalesce("scc", "uid").alias("node")))
     a, b = names.select(F.col("uid").alias("src"), F.col("node").alias("a")), names.select(F.col("uid").alias("dst"), F.col("node").alias("b"))
@@ -397,3 +506,74 @@ def quality_gate(metrics: DataFrame, most_complexity: float = 12, most_risky: in
     return out.withColumn("passed", (F.col("violations") == "").cast("int"))
 
 
+def metrics_summary(metrics: DataFrame) -> DataFrame:
+    """One row over (uid, complexity, flags): nodes, average and largest complexity, flagged
+    nodes and the first of them."""
+    risky = F.col("flags") != ""
+    return metrics.agg(
+        F.count("*").alias("nodes"), F.coalesce(F.avg("complexity"), F.lit(0.0)).alias("avg_complexity"), F.coalesce(F.max("complexity"), F.lit(0)).cast("long").alias("max_complexity"),
+        F.count_if(risky).alias("risky"), F.min(F.when(risky, F.col("uid"))).alias("first_risky"),
+    )
+
+
+def counts_by(rows: DataFrame, column: str) -> DataFrame:
+    """Rows of each label or type, the commonest first."""
+    return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
+
+
+def most_called(functions: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
+    """(project, name, fan_in): calls of functions by name and project."""
+    f = functions.select(F.col("uid").alias("dst"), "project", "name")
+    return edges.join(f, "dst").groupBy("project", "name").agg(F.count("*").alias("fan_in")).orderBy(F.desc("fan_in"), "project", "name").limit(limit)
+
+
+def importing_files(files: DataFrame, imports: DataFrame, module: str) -> DataFrame:
+    """(project, file) of files (uid, project, rel_path) that import a module; imports are (uid, module)."""
+    return files.join(imports.where(F.col("module") == module).select("uid").distinct(), "uid").select("project", F.col("rel_path").alias("file")).orderBy("project", "file")
+
+
+def shared_symbols(functions: DataFrame, calls: DataFrame, a: str, b: str, limit: int = 50) -> DataFrame:
+    """Symbols that functions of both projects call."""
+    d = calls.join(functions.select(F.col("uid").alias("src"), "project"), "src").where(F.col("project").isin(a, b))
+    return d.groupBy("callee").agg(F.count_distinct("project").alias("n")).where("n = 2").select(F.col("callee").alias("shared_symbol")).orderBy("shared_symbol").limit(limit)
+
+
+def plugin_clusters(inherits: DataFrame) -> DataFrame:
+    """(base, project, impls, n): bases with several implementations (name, base) in a project."""
+    d = inherits.groupBy("base", "project").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("impls"), F.count("*").alias("n"))
+    return d.where("n > 1").orderBy(F.desc("n"), "base", "project")
+
+
+def signature_groups(functions: DataFrame, limit: int = 50) -> DataFrame:
+    """(signature, ids, n): functions that share a signature hash."""
+    g = functions.where("signature_hash is not null").groupBy("signature_hash").agg(F.array_join(F.array_sort(F.collect_list("uid")), ",").alias("ids"), F.count("*").alias("n"))
+    return g.where("n > 1").orderBy(F.desc("n"), "signature_hash").limit(limit)
+
+
+def result_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: how many nodes and relationships a result has, and their distinct kinds."""
+    kinds = lambda c: F.array_join(F.array_sort(F.collect_set(F.coalesce(c, F.lit("")))), ",")
+    n = nodes.agg(F.count("*").alias("total_nodes"), kinds("label").alias("node_types"))
+    return n.crossJoin(edges.agg(F.count("*").alias("total_relationships"), kinds("type").alias("relationship_types")))  # one row each
+
+
+def inheritance_depth(inherits: DataFrame) -> DataFrame:
+    """(uid, depth) over edges (src, dst) from a class to its bases: edges of the longest way
+    up through distinct classes, where a base that closes a cycle counts 1 more.
+
+    Ways grow by a base in each round until none is left; of the ways from one class to
+    another over the same classes one is kept.
+    """
+    e = settle(inherits.select("src", "dst").distinct())
+    paths = e.select(F.col("src").alias("uid"), F.col("dst").alias("last"), F.array("src").alias("seen"))
+    out, d = None, 0
+    while not paths.isEmpty():
+        d += 1
+        here = paths.select("uid").distinct().withColumn("depth", F.lit(d).cast("long"))
+        out = settle(here if out is None else out.union(here).groupBy("uid").agg(F.max("depth").alias("depth")))
+        open_ = paths.where(~F.array_contains("seen", F.col("last"))).select("uid", F.col("last").alias("src"), F.array_sort(F.concat("seen", F.array("last"))).alias("seen"))
+        paths = settle(open_.join(e, "src").select("uid", F.col("dst").alias("last"), "seen").distinct())
+    nodes = e.select(F.col("src").alias("uid")).union(e.select("dst")).distinct()
+    if out is None:
+        return nodes.select("uid", F.lit(0).cast("long").alias("depth"))
+    return nodes.join(out, "uid", "left").select("uid", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))

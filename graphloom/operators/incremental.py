@@ -106,3 +106,63 @@ def fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     both = part(nodes, ["uid"], "nodes").crossJoin(part(edges, ["src", "dst"], "edges"))  # one row each
     return both.select("n_nodes", "n_edges", F.sha2(F.concat_ws("|", "h_nodes", "h_edges"), 256).alias("fingerprint"))
+
+
+def create_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges of a fresh load: both ends are nodes(uid), repeats stay."""
+    ids = nodes.select("uid").distinct()
+    return edges.join(ids.withColumnRenamed("uid", "src"), "src", "left_semi").join(ids.withColumnRenamed("uid", "dst"), "dst", "left_semi")
+
+
+def ghost_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(uid) of edge ends that are no nodes: a load edge by edge would create them."""
+    ends = edges.select(F.col("src").alias("uid")).union(edges.select(F.col("dst").alias("uid"))).distinct()
+    return ends.join(nodes.select("uid"), "uid", "left_anti")
+
+
+def with_properties(nodes: DataFrame, properties: DataFrame, key: str = "uid") -> DataFrame:
+    """Nodes with the columns of their properties; those without keep nulls."""
+    return nodes.join(properties, key, "left")
+
+
+def catalog_write(old: DataFrame, new: DataFrame, keys: list[str], append: bool = False, owner: str = "source_path") -> DataFrame:
+    """A catalog table after rows of some owners are written: to replace takes all old rows of
+    these owners away first, to append only those with the keys of new rows."""
+    if append:
+        return replace_rows(old, new, keys)
+    return old.join(new.select(owner).distinct(), owner, "left_anti").unionByName(new)
+
+
+#: Columns that older catalogs lack, with their defaults.
+ADDED_COLUMNS = {"summary_artifact": "", "fingerprint": "", "performance_json": "{}"}
+
+
+def evolved(table: DataFrame, defaults: dict[str, object] | None = None) -> DataFrame:
+    """A catalog table with the columns it lacks, at their defaults; nulls of columns it has
+    become defaults too, as they may not be null."""
+    defaults = ADDED_COLUMNS if defaults is None else defaults
+    return table.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in table.columns else F.lit(v) for c, v in defaults.items()})
+
+
+def extract_counters(rows: DataFrame, cache: DataFrame, relations: bool = True) -> DataFrame:
+    """One row: rows (path, hash, events), hits and misses of a cache (cache_key, hash) keyed
+    by path and mode, and all events."""
+    mode = "relations-on" if relations else "relations-off"
+    keyed = rows.withColumn("cache_key", F.concat_ws("|", "path", F.lit(mode))).join(cache.select("cache_key", F.col("hash").alias("_h")), "cache_key", "left")
+    hit = F.col("_h").eqNullSafe(F.col("hash"))
+    return keyed.agg(F.count("*").alias("rows_total"), F.count_if(hit).alias("cache_hits"), F.count_if(~hit).alias("cache_misses"), F.coalesce(F.sum("events"), F.lit(0)).cast("long").alias("events_total"))
+
+
+def tallies(rows: DataFrame, statuses: tuple[str, ...] = ("planned", "completed", "failed", "skipped_missing_path"), column: str = "status") -> DataFrame:
+    """One row: all rows and those of each status."""
+    return rows.agg(F.count("*").alias("total"), *(F.count_if(F.col(column) == s).alias(s) for s in statuses))
+
+
+def newest_first(records: DataFrame, created: str, key: str) -> DataFrame:
+    """Records by creation time, the newest first; of equals the smaller key first."""
+    return records.orderBy(F.desc(created), key)
+
+
+def merged_maps(old: Column, new: Column) -> Column:
+    """Property maps merged key by key; the new value wins."""
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)

@@ -86,5 +86,22 @@ def control_flow(statements: DataFrame) -> DataFrame:
     return flows.union(branch).union(loops).union(ret)
 
 
+def data_flow(variables: DataFrame, statements: DataFrame) -> DataFrame:
+    """(src, dst, kind) of variables (id, file, name, line, pos) and statements (id, file, lo,
+    hi, pos, code): DEFINES from the first statement that holds a definition's line,
+    DATA_DEPENDS_ON from a use to the last definition of the name before it.
+
+    A variable is defined where its name stands before the first '=' of a statement that
+    begins on its line and is no return.
+    """
+    eq, at = F.instr("code", "="), F.instr("code", F.col("name"))
+    assigns = statements.where((eq > 0) & ~F.startswith(F.ltrim("code"), F.lit("return"))).select("file", F.col("lo").alias("line"), "code")
+    defined = variables.join(assigns, ["file", "line"]).where((at > 0) & (at < eq)).select("id").distinct()
+    v = variables.join(defined.withColumn("is_def", F.lit(1)), "id", "left").withColumn("is_def", F.coalesce("is_def", F.lit(0)))
+    holds = containing(v.where("is_def = 1").select("id", "file", "line"), statements.select("file", "lo", "hi", "pos", F.col("id").alias("statement")))
+    uses = last_definitions(v.withColumn("scope", F.col("file"))).where("def_id is not null")
+    return holds.select(F.col("statement").alias("src"), F.col("id").alias("dst"), F.lit("DEFINES").alias("kind")).union(uses.select(F.col("id").alias("src"), F.col("def_id").alias("dst"), F.lit("DATA_DEPENDS_ON").alias("kind")))
+
+
 def first_by_path(rows: DataFrame) -> DataFrame:
     return first_wins(rows, ["path"], [F.col("pos")])

@@ -130,10 +130,26 @@ def embed(rows: DataFrame, text: str = "text", dims: int = 384) -> DataFrame:
     return rows.withColumn("embedding", vec(text))
 
 
-#: Recommended clustering keys of the catalog tables.
+#: The recommended keys of the catalog's tables, in their order.
 RECOMMENDED = (
-    ("projects", ("path",)), ("enrichment", ("source_path",)), ("enrichment", ("updated_at",)), ("file_signals", ("source_path", "file_path")), ("project_signals", ("source_path",)),
-    ("dependency_edges", ("source_path", "file_path")), ("call_edges", ("source_path", "caller_uid")), ("complexity_nodes", ("source_path", "complexity")), ("similarity_pairs", ("source_path", "kind")),
+    ("projects", ("path",)),
+    ("projects", ("line_count",)),
+    ("projects", ("line_count", "path")),
+    ("enrichment", ("source_path",)),
+    ("enrichment", ("source_project",)),
+    ("enrichment", ("updated_at",)),
+    ("file_signals", ("source_path",)),
+    ("file_signals", ("is_file_collector",)),
+    ("file_signals", ("source_path", "is_file_collector")),
+    ("file_signals", ("collector_score",)),
+    ("project_signals", ("collector_ratio",)),
+    ("project_intelligence", ("source_project",)),
+    ("dependency_edges", ("source_path", "is_internal")),
+    ("call_edges", ("source_path", "is_internal")),
+    ("call_edges", ("caller_uid",)),
+    ("complexity_nodes", ("source_path", "cyclomatic")),
+    ("similarity_pairs", ("source_path", "pair_type")),
+    ("similarity_pairs", ("similarity",)),
 )
 
 

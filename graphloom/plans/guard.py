@@ -35,3 +35,9 @@ def run(spark: SparkSession, text: str, safe: bool = True, **args: object) -> Da
     if safe and not is_read_only(text):
         raise ValueError("only reading queries are allowed")
     return spark.sql(text, args=args or None)
+
+
+def rows(spark: SparkSession, text: str, most: int = MOST_ROWS) -> tuple[list, bool]:
+    """At most ``most`` rows of a reading query, and whether there are more."""
+    got = run(spark, text).limit(most + 1).collect()
+    return got[:most], len(got) > most

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
@@ -16,29 +13,8 @@ from graphloom.operators import intervals as V
 from graphloom.operators import search as S
 from graphloom.operators import semantic as M
 from graphloom.operators import similarity as Y
-from graphloom.plans.workload import W1, W4, W4_ALL, Tables
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-A, B = "Brand#11", "Brand#12"
-
-
-def query(sql: str | None = None, ctes: str = ""):
-    """Register a function of Tables under its name."""
-
-    def add(f: Callable[[Tables], DataFrame]):
-        name = f.__name__
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            SQL[name] = (f"WITH RECURSIVE {ctes.strip()} " if ctes else "") + sql.replace("{A}", A).replace("{B}", B)
-        return f
-
-    return add
-
-
-def long(c: str):
-    return F.col(c).cast("long")
-
+from graphloom.plans.base import A, B, QUERIES, SQL, long, query
+from graphloom.plans.workload import W1, W4
 
 # --- extraction and graph analyses -------------------------------------------
 
@@ -109,9 +85,9 @@ def analyze_duplicates(t):
 _LIKE = "SELECT project, name, line::BIGINT AS line, uid FROM fn WHERE {w} ORDER BY name, uid LIMIT {n}"
 
 
-@query(_LIKE.format(w="contains(lower(name), 'steel')", n=50), W1)
+@query(_LIKE.format(w="contains(lower(name), 'widget')", n=50), W1)
 def analyze_security(t):
-    return G.name_contains(t.functions(), ("steel",), limit=50).withColumn("line", long("line"))
+    return G.name_contains(t.functions(), ("widget",), limit=50).withColumn("line", long("line"))
 
 
 @query(_LIKE.format(w="project = '{A}' AND contains(lower(name), 'red')", n=50), W1)
@@ -119,9 +95,9 @@ def analyze_refactor(t):
     return G.name_contains(t.functions(), ("red",), A, 50).withColumn("line", long("line"))
 
 
-@query(_LIKE.format(w="contains(lower(name), 'bras')", n=100), W1)
+@query(_LIKE.format(w="contains(lower(name), 'bolt')", n=100), W1)
 def analyze_patterns(t):
-    return G.name_contains(t.functions(), G.pattern_words("brass"), limit=100).withColumn("line", long("line"))
+    return G.name_contains(t.functions(), G.pattern_words("bolts"), limit=100).withColumn("line", long("line"))
 
 
 @query("SELECT count(*) AS functions, count(*) FILTER (regexp_matches(lower(name), 'factory|singleton|observer|repository|plugin')) AS pattern_hits, (SELECT count(*) FROM (SELECT signature_hash FROM fn GROUP BY 1 HAVING count(*) > 1)) AS duplicate_groups FROM fn", W1)
@@ -226,74 +202,92 @@ def dead_functions(t):
     return G.dead_nodes(t.functions(), t.edges())
 
 
-@query("SELECT uid, fan_in, fan_out FROM deg WHERE fan_in + fan_out > 20", W1)
-def god_functions(t):
-    return G.god_nodes(t.functions(), t.edges())
+#: All relationships and all nodes of the graph.
+_ALL = """, rel AS (SELECT DISTINCT 'CONTAINS' AS type, project AS src, file_uid AS dst FROM fn UNION ALL SELECT 'DEFINES', file_uid, uid FROM fn
+  UNION ALL SELECT 'CALLS', src, 'symbol:' || callee FROM calls UNION ALL SELECT 'CALLS_FUNCTION', src, dst FROM edges),
+nd AS (SELECT DISTINCT 'Project' AS label, project AS uid FROM fn UNION ALL SELECT DISTINCT 'File', file_uid FROM fn UNION ALL SELECT 'Function', uid FROM fn UNION ALL SELECT DISTINCT 'Symbol', 'symbol:' || callee FROM calls),
+fan AS (SELECT nd.label, nd.uid, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out FROM nd LEFT JOIN (SELECT dst, count(*) AS n FROM rel GROUP BY 1) i ON i.dst = nd.uid LEFT JOIN (SELECT src, count(*) AS n FROM rel GROUP BY 1) o ON o.src = nd.uid)"""
 
 
-@query("SELECT uid, fan_in + fan_out AS total FROM deg ORDER BY total DESC, uid LIMIT 10", W1)
-def dependency_hotspots(t):
-    return G.top_fans(t.functions(), t.edges())
+@query("SELECT uid, fan_in, fan_out, CASE WHEN fan_in + fan_out > 0 THEN fan_out / (fan_in + fan_out) ELSE 0.0 END::DOUBLE AS instability FROM fan", W1 + _ALL)
+def fan_metrics_all_types(t):
+    return G.fan_metrics(t.all_nodes(), t.all_edges())
 
 
-@query("SELECT uid FROM walk WHERE uid NOT IN (SELECT uid FROM seeds) GROUP BY 1", W1 + """, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
-seeds AS (SELECT uid FROM fn ORDER BY uid LIMIT 5), walk(uid, h) AS (SELECT uid, 0 FROM seeds UNION SELECT b.dst, h + 1 FROM walk JOIN both_ways b ON b.src = walk.uid WHERE h < 2)""")
-def k_hop(t):
-    return G.expand(G.settle(t.edges()), t.functions().select("uid").orderBy("uid").limit(5))
+@query("SELECT label, count(*) AS n FROM nd GROUP BY 1 ORDER BY n DESC, label", W1 + _ALL)
+def node_counts(t):
+    return G.counts_by(t.all_nodes(), "label")
 
 
-_SMALL = """, sm AS (SELECT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a JOIN nation b ON (a.n_nationkey * 7 + b.n_nationkey * 3) % 13 = 0 AND a.n_nationkey % 5 <> b.n_nationkey % 5)"""
+@query("SELECT type, count(*) AS n FROM rel GROUP BY 1 ORDER BY n DESC, type", W1 + _ALL)
+def edge_counts(t):
+    return G.counts_by(t.all_edges(), "type")
 
 
-def _ring(t):
-    n = t["nation"].select(F.col("n_nationkey").alias("src"))
-    # a synthetic graph of fixed size, 25 nodes
-    e = n.join(F.broadcast(n.withColumnRenamed("src", "dst")), (F.col("src") * 7 + F.col("dst") * 3) % 13 == 0).where("src % 5 <> dst % 5")
-    return e
+@query("SELECT uid, fan_in, fan_out FROM fan WHERE fan_in + fan_out > 20", W1 + _ALL)
+def god_functions(t):
+    return G.god_nodes(t.all_nodes(), t.all_edges())
 
 
-@query("SELECT DISTINCT src AS uid FROM walk WHERE src = dst", "x AS (SELECT 1)" + _SMALL + ", walk(src, dst) AS (SELECT src, dst FROM sm UNION SELECT w.src, s.dst FROM walk w JOIN sm s ON s.src = w.dst)")
-def nodes_in_cycles(t):
-    return G.in_cycle(_ring(t))
+@query("SELECT uid, fan_in + fan_out AS total FROM fan ORDER BY total DESC, uid LIMIT 10", W1 + _ALL)
+def dependency_hotspots(t):
+    return G.top_fans(t.all_nodes(), t.all_edges())
 
 
-_DAG = ", dag AS (SELECT src, dst FROM sm WHERE src < dst)"
+@query("SELECT uid FROM walk WHERE uid NOT IN (SELECT uid FROM seeds) GROUP BY 1", W1 + """, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+seeds AS (SELECT uid FROM fn ORDER BY uid LIMIT 5), walk(uid, h) AS (SELECT uid, 0 FROM seeds UNION SELECT b.dst, h + 1 FROM walk JOIN both_ways b ON b.src = walk.uid WHERE h < 2)""")
+def k_hop(t):
+    return G.expand(G.settle(t.edges()), t.functions().select("uid").orderBy("uid").limit(5))
 
 
-@query("SELECT uid, max(h)::BIGINT AS depth FROM walk GROUP BY 1", "x AS (SELECT 1)" + _SMALL + _DAG + ", walk(uid, h) AS (SELECT src, 1 FROM dag UNION SELECT dst, 0 FROM dag UNION SELECT d.src, w.h + 1 FROM walk w JOIN dag d ON d.dst = w.uid)")
-def call_depth(t):
-    return G.longest_depth(_ring(t).where("src < dst"))
+#: Transitive closure of the call graph, and the strong component of each node on a cycle.
+_CLOSED = """, e2 AS (SELECT src, dst FROM edges WHERE src <> dst), reach(src, dst) AS (SELECT src, dst FROM e2 UNION SELECT r.src, e.dst FROM reach r JOIN e2 e ON e.src = r.dst),
+scc AS (SELECT a.src AS uid, max(a.dst) AS scc FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src GROUP BY 1)"""
 
 
-@query("SELECT uid, max(n)::BIGINT AS chain FROM walk GROUP BY 1", "x AS (SELECT 1)" + _SMALL + ", walk(uid, p, n, o) AS (SELECT src, [src, dst], 1, src <> dst FROM sm UNION SELECT w.uid, list_append(w.p, s.dst), w.n + 1, NOT list_contains(w.p, s.dst) FROM walk w JOIN sm s ON s.src = w.p[-1] WHERE w.o AND w.n < 6)")
-def dependency_chain(t):
-    return G.longest_chain(_ring(t))
+@query("SELECT uid FROM scc", W1 + _CLOSED)
+def nodes_in_cycles(t):
+    return G.in_cycle(t.edges())
 
 
-# the same three over the call graph: no SQL, as its cycles are too large for a recursive one; tested on small graphs
+@query("SELECT scc AS component, count(*) AS members, min(uid) AS first_member FROM scc GROUP BY 1 HAVING count(*) > 1", W1 + _CLOSED)
+def circular_dependencies(t):
+    return G.strong_components(t.edges()).groupBy(F.col("scc").alias("component")).agg(F.count("*").alias("members"), F.min("uid").alias("first_member"))
 
 
-@query()
-def nodes_in_cycles_calls(t):
-    return G.in_cycle(t.edges())
+@query("SELECT n.uid, coalesce(d.depth, 0)::BIGINT AS depth FROM nm n LEFT JOIN (SELECT node, max(h) AS depth FROM walk GROUP BY 1) d USING (node)", W1 + _CLOSED + """,
+nm AS (SELECT u.uid, coalesce(s.scc, u.uid) AS node FROM (SELECT src AS uid FROM e2 UNION SELECT dst FROM e2) u LEFT JOIN scc s ON s.uid = u.uid),
+dag AS (SELECT DISTINCT a.node AS src, b.node AS dst FROM e2 JOIN nm a ON a.uid = e2.src JOIN nm b ON b.uid = e2.dst WHERE a.node <> b.node),
+walk(node, h) AS (SELECT src, 1 FROM dag UNION SELECT g.src, w.h + 1 FROM walk w JOIN dag g ON g.dst = w.node)""")
+def call_depth(t):
+    return G.longest_depth(t.edges())
 
 
-@query()
-def call_depth_calls(t):
-    return G.longest_depth(t.edges())
+#: Whether a node's longest simple path, with the edge that closes a cycle, has over five edges.
+_CHAINS = """, sx AS (SELECT uid, row_number() OVER (ORDER BY uid) AS n FROM fn), sm AS (SELECT DISTINCT a.n AS src, b.n AS dst FROM edges JOIN sx a ON a.uid = edges.src JOIN sx b ON b.uid = edges.dst),
+ch1 AS (SELECT src AS uid, dst AS z, [src, dst] AS p FROM sm), {steps}
+ch AS (SELECT sx.uid FROM (SELECT DISTINCT uid FROM ch6) c JOIN sx ON sx.n = c.uid)"""
+_CHAINS = _CHAINS.replace("{steps}", " ".join(f"ch{k} AS (SELECT DISTINCT c.uid, s.dst AS z, list_append(c.p, s.dst) AS p FROM ch{k - 1} c JOIN sm s ON s.src = c.z WHERE len(list_distinct(c.p)) = {k})," for k in range(2, 7)))
 
 
-@query()
-def dependency_chain_calls(t):
-    return G.longest_chain(t.edges())
+@query("SELECT DISTINCT e.src AS uid, (e.src IN (SELECT uid FROM ch))::INT AS deep FROM edges e", W1 + _CHAINS)
+def dependency_chain(t):
+    return G.longest_chain(t.edges()).select("uid", (F.col("chain") > 5).cast("int").alias("deep"))
 
 
-_METRICS = ", m AS (SELECT uid, line % 23 AS complexity, fan_in, fan_out, (line % 9)::BIGINT AS chain, line % 11 = 0 AS cyclic FROM deg), fl AS (SELECT *, concat_ws(',', CASE WHEN complexity > 10 AND fan_in > 5 THEN 'complex_and_used' END, CASE WHEN chain > 5 THEN 'deep_chain' END, CASE WHEN fan_in + fan_out > 20 THEN 'god_class' END, CASE WHEN cyclic THEN 'cyclic' END) AS flags FROM m)"
+_METRICS = _CLOSED + _CHAINS + """, pg AS (SELECT page_id, (1 + len(regexp_extract_all(html, '\\b(?:if|for|while|case|catch)\\b')) + len(regexp_extract_all(html, '&&')) + len(regexp_extract_all(html, '\\|\\|')) + len(list_filter(regexp_extract_all(html, '\\?+\\.?'), lambda x: x <> '?.'))) AS c FROM pages),
+m AS (SELECT deg.uid, coalesce(pg.c, 1) AS complexity, fan_in, fan_out, CASE WHEN deg.uid IN (SELECT uid FROM ch) THEN 6 ELSE 0 END AS chain, deg.uid IN (SELECT uid FROM scc) AS cyclic FROM deg LEFT JOIN pg ON pg.page_id = deg.line),
+fl AS (SELECT *, concat_ws(',', CASE WHEN complexity > 10 AND fan_in > 5 THEN 'complex_and_used' END, CASE WHEN chain > 5 THEN 'deep_chain' END, CASE WHEN fan_in + fan_out > 20 THEN 'god_class' END, CASE WHEN cyclic THEN 'cyclic' END) AS flags FROM m)"""
 
 
 def _metrics(t):
-    d = G.degrees(t.functions(), t.edges())
-    return d.select("uid", (F.col("line") % 23).alias("complexity"), "fan_in", "fan_out", (F.col("line") % 9).alias("chain"), (F.col("line") % 11 == 0).alias("cyclic"))
+    """Metrics of all functions; a function's text is the page of its number."""
+    e, zero = t.edges(), F.lit(0).cast("long")
+    d = G.degrees(t.functions(), e).select("uid", "line", "fan_in", "fan_out")
+    body = t["pages"].select(F.col("page_id").alias("line"), X.js_cyclomatic(F.col("html")).alias("complexity"))
+    loops = G.in_cycle(e).withColumn("cyclic", F.lit(True))
+    d = d.join(body, "line", "left").join(G.longest_chain(e), "uid", "left").join(loops, "uid", "left")
+    return G.settle(d.select("uid", F.coalesce("complexity", F.lit(1)).alias("complexity"), "fan_in", "fan_out", F.coalesce("chain", zero).alias("chain"), F.coalesce("cyclic", F.lit(False)).alias("cyclic")))
 
 
 @query("SELECT uid, flags FROM fl", W1 + _METRICS)
@@ -307,14 +301,26 @@ def quality_gate(t):
     return G.quality_gate(m.join(G.risk_flags(m), "uid"))
 
 
+@query("SELECT count(*) AS nodes, avg(complexity)::DOUBLE AS avg_complexity, max(complexity)::BIGINT AS max_complexity, count(*) FILTER (flags <> '') AS risky, min(uid) FILTER (flags <> '') AS first_risky FROM fl", W1 + _METRICS)
+def metrics_summary(t):
+    m = _metrics(t)
+    return G.metrics_summary(m.join(G.risk_flags(m), "uid"))
+
+
+@query("SELECT fn.uid, fn.name, fl.complexity::BIGINT AS complexity, fl.fan_in, fl.fan_out, fl.flags FROM fn JOIN fl ON fl.uid = fn.uid", W1 + _METRICS)
+def nodes_with_metrics(t):
+    m = _metrics(t)
+    return I.with_properties(t.functions().select("uid", "name"), m.join(G.risk_flags(m), "uid").select("uid", F.col("complexity").cast("long").alias("complexity"), "fan_in", "fan_out", "flags"), "uid")
+
+
 # --- joins of intervals and names --------------------------------------------
 
-_SPANS = "sp AS (SELECT l_orderkey AS file, l_partkey AS span, l_linenumber AS lo, l_linenumber + l_suppkey % 4 AS hi FROM lineitem WHERE l_orderkey < 3000), pt AS (SELECT o_orderkey AS file, o_orderkey AS id, 1 + o_custkey % 7 AS line FROM orders WHERE o_orderkey < 3000)"
+_SPANS = "sp AS (SELECT l_orderkey AS file, l_partkey AS span, l_linenumber AS lo, l_linenumber + l_suppkey % 4 AS hi FROM lineitem), pt AS (SELECT o_orderkey AS file, o_orderkey AS id, 1 + o_custkey % 7 AS line FROM orders)"
 
 
 def _spans(t):
-    s = t["lineitem"].where("l_orderkey < 3000").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("span"), long("l_linenumber").alias("lo"), (F.col("l_linenumber") + F.col("l_suppkey") % 4).alias("hi"))
-    p = t["orders"].where("o_orderkey < 3000").select(F.col("o_orderkey").alias("file"), F.col("o_orderkey").alias("id"), (1 + F.col("o_custkey") % 7).alias("line"))
+    s = t["lineitem"].select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("span"), long("l_linenumber").alias("lo"), (F.col("l_linenumber") + F.col("l_suppkey") % 4).alias("hi"))
+    p = t["orders"].select(F.col("o_orderkey").alias("file"), F.col("o_orderkey").alias("id"), (1 + F.col("o_custkey") % 7).alias("line"))
     return p, s
 
 
@@ -368,32 +374,32 @@ def resolve_unique_name(t):
 
 @query("SELECT identity, change FROM df", W4)
 def snapshot_diff(t):
-    return I.diff(t.old_state(), t.new_state())
+    return I.diff(t.old_snapshot(), t.new_snapshot())
 
 
 @query("SELECT change, 'node:File' AS category, count(*) AS n FROM df GROUP BY 1", W4)
 def snapshot_report(t):
-    return I.report(I.diff(t.old_state(), t.new_state()))
+    return I.report(I.diff(t.old_snapshot(), t.new_snapshot()))
 
 
 @query("SELECT count(*) FILTER (change <> 'removed') AS unique_events, count(*) FILTER (change IN ('added', 'changed')) AS loaded, count(*) FILTER (change = 'unchanged') AS skipped, count(*) FILTER (change = 'removed') AS stale FROM df", W4)
 def load_counters(t):
-    return I.load_counters(t.old_state(), t.new_state())
+    return I.load_counters(t.old_snapshot(), t.new_snapshot())
 
 
 @query("SELECT ns.identity, ns.hash FROM ns LEFT JOIN os ON os.identity = ns.identity WHERE os.hash IS DISTINCT FROM ns.hash", W4)
 def load_changed(t):
-    return I.changed_rows(t.old_state(), t.new_state()).select("identity", "hash")
+    return I.changed_rows(t.old_snapshot(), t.new_snapshot()).select("identity", "hash")
 
 
 @query("SELECT identity FROM df WHERE change = 'removed'", W4)
 def load_stale(t):
-    return I.stale(t.old_state(), t.new_state())
+    return I.stale(t.old_snapshot(), t.new_snapshot())
 
 
 @query("SELECT coalesce(ns.identity, os.identity) AS identity, coalesce(ns.hash, os.hash) AS hash FROM os FULL JOIN ns ON os.identity = ns.identity", W4)
 def merge_nodes(t):
-    return I.merge(t.old_state(), t.new_state(), ["identity"])
+    return I.merge(t.old_snapshot(), t.new_snapshot(), ["identity"])
 
 
 @query("SELECT DISTINCT e.src, e.dst FROM edges e JOIN fn a ON a.uid = e.src AND a.line % 2 = 0 JOIN fn b ON b.uid = e.dst AND b.line % 2 = 0", W1)
@@ -419,19 +425,19 @@ def catalog_upsert(t):
 
 @query("SELECT 'node' AS kind, 'File' AS type, split_part(identity, ':', 3) AS project, change FROM df WHERE change = 'changed'", W4)
 def delta_changed(t):
-    return I.parse_identity(I.diff(t.old_state(), t.new_state())).where("change = 'changed'").select("kind", "type", "project", "change")
+    return I.parse_identity(I.diff(t.old_snapshot(), t.new_snapshot())).where("change = 'changed'").select("kind", "type", "project", "change")
 
 
 @query("SELECT count(*) FILTER (os.hash = ns.hash) AS hits, count(*) FILTER (os.hash IS DISTINCT FROM ns.hash) AS misses FROM ns LEFT JOIN os ON os.identity = ns.identity", W4)
 def cache_counters(t):
-    hits, misses = I.with_cache(t.new_state(), t.old_state(), "identity", "hash")
+    hits, misses = I.with_cache(t.new_snapshot(), t.old_snapshot(), "identity", "hash")
     return hits.agg(F.count("*").alias("hits")).crossJoin(misses.agg(F.count("*").alias("misses")))
 
 
-@query("SELECT o_orderpriority AS path, min(o_orderkey) AS pos FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority AS path, o_custkey % 7 AS chunk, o_orderkey AS pos FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey % 7, o_orderkey) = 1")
 def merge_chunks(t):
-    d = t["orders"].select(F.lit(0).alias("chunk"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("path"))
-    return C.merge_chunks(d).select("path", "pos")
+    d = t["orders"].select((F.col("o_custkey") % 7).alias("chunk"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("path"))
+    return C.merge_chunks(d).select("path", "chunk", "pos")
 
 
 # --- churn and catalog ---------------------------------------------------------
@@ -461,11 +467,12 @@ def churn_hotspots(t):
     return C.churn_hotspots(C.file_stats(t.functions(), t.edges()), _churn(t))
 
 
-@query("SELECT 'r' AS repo, l_partkey::VARCHAR AS rel_path, count(DISTINCT l_orderkey) AS commits, sum(l_quantity::BIGINT)::BIGINT AS added, sum(l_linenumber)::BIGINT AS removed FROM lineitem WHERE l_orderkey < 400 GROUP BY l_partkey")
+@query("SELECT l_suppkey AS repo, l_partkey::VARCHAR AS rel_path, count(DISTINCT l_orderkey) AS commits, sum(l_quantity::BIGINT)::BIGINT AS added, sum(l_linenumber)::BIGINT AS removed FROM lineitem GROUP BY l_suppkey, l_partkey")
 def numstat_parse(t):
-    d = t["lineitem"].where("l_orderkey < 400").select("l_orderkey", F.concat_ws("\t", F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("line"))
-    c = d.groupBy("l_orderkey").agg(F.concat(F.lit("COMMIT\n"), F.array_join(F.collect_list("line"), "\n")).alias("c"))
-    return X.numstat(c.agg(F.lit("r").alias("repo"), F.array_join(F.collect_list("c"), "\n").alias("text")), "repo")
+    # a supplier is a repository, with a text of its own
+    d = t["lineitem"].select("l_suppkey", "l_orderkey", F.concat_ws("\t", F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("line"))
+    c = d.groupBy("l_suppkey", "l_orderkey").agg(F.concat(F.lit("COMMIT\n"), F.array_join(F.collect_list("line"), "\n")).alias("c"))
+    return X.numstat(c.groupBy(F.col("l_suppkey").alias("repo")).agg(F.array_join(F.collect_list("c"), "\n").alias("text")), "repo")
 
 
 _CAT = "pr AS (SELECT c_name AS name, 'c:/dev/' || c_custkey AS path, c_custkey AS k, (c_acctbal::BIGINT + 1000)::BIGINT AS line_count, (c_custkey % 90)::BIGINT AS file_count, (c_custkey % 2)::BIGINT AS has_tests, (c_custkey % 3 = 0)::BIGINT AS has_readme FROM customer), en AS (SELECT 'c:/dev/' || s_suppkey AS source_path FROM supplier)"
@@ -496,91 +503,6 @@ def project_summary(t):
     return C.project_summary(t["part"], "p_size", 10)
 
 
-# --- the same operators over whole tables ------------------------------------
-
-# The queries above with bounds on order keys keep their SQL; each has a twin here without bounds.
-_SPANS_ALL = "sp AS (SELECT l_orderkey AS file, l_partkey AS span, l_linenumber AS lo, l_linenumber + l_suppkey % 4 AS hi FROM lineitem), pt AS (SELECT o_orderkey AS file, o_orderkey AS id, 1 + o_custkey % 7 AS line FROM orders)"
-
-
-def _spans_all(t):
-    s = t["lineitem"].select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("span"), long("l_linenumber").alias("lo"), (F.col("l_linenumber") + F.col("l_suppkey") % 4).alias("hi"))
-    p = t["orders"].select(F.col("o_orderkey").alias("file"), F.col("o_orderkey").alias("id"), (1 + F.col("o_custkey") % 7).alias("line"))
-    return p, s
-
-
-@query("SELECT id, span FROM (SELECT id, span, row_number() OVER (PARTITION BY id ORDER BY hi - lo, span) AS n FROM pt JOIN sp ON pt.file = sp.file AND line BETWEEN lo AND hi) WHERE n = 1", _SPANS_ALL)
-def enclosing_function_all(t):
-    return V.enclosing(*_spans_all(t))
-
-
-@query("SELECT id, min_by(span, span) AS statement FROM pt JOIN sp ON pt.file = sp.file AND line BETWEEN lo AND hi GROUP BY 1", _SPANS_ALL)
-def containing_statement_all(t):
-    p, s = _spans_all(t)
-    return V.containing(p, s.select("file", "lo", "hi", F.col("span").alias("statement"), F.col("span").alias("pos")))
-
-
-@query("SELECT id, statement FROM (SELECT id, span AS statement, row_number() OVER (PARTITION BY id ORDER BY lo, span) AS n FROM pt JOIN sp ON pt.file = sp.file AND lo > line) WHERE n = 1", _SPANS_ALL)
-def next_statement_all(t):
-    p, s = _spans_all(t)
-    return V.following(p, s.select("file", "lo", F.col("span").alias("statement"), F.col("span").alias("pos")))
-
-
-@query("SELECT u.span, count(pt.id) AS n FROM (SELECT file * 100 + lo AS span, file, min(lo) AS lo, max(hi) AS hi FROM sp GROUP BY 1, 2) u LEFT JOIN pt ON pt.file = u.file AND line BETWEEN lo AND hi GROUP BY 1", _SPANS_ALL)
-def nodes_in_function_all(t):
-    p, s = _spans_all(t)
-    u = s.groupBy((F.col("file") * 100 + F.col("lo")).alias("span"), "file").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return V.inside(u, p)
-
-
-@query("SELECT identity, change FROM df", W4_ALL)
-def snapshot_diff_all(t):
-    return I.diff(t.old_snapshot(), t.new_snapshot())
-
-
-@query("SELECT change, 'node:File' AS category, count(*) AS n FROM df GROUP BY 1", W4_ALL)
-def snapshot_report_all(t):
-    return I.report(I.diff(t.old_snapshot(), t.new_snapshot()))
-
-
-@query("SELECT count(*) FILTER (change <> 'removed') AS unique_events, count(*) FILTER (change IN ('added', 'changed')) AS loaded, count(*) FILTER (change = 'unchanged') AS skipped, count(*) FILTER (change = 'removed') AS stale FROM df", W4_ALL)
-def load_counters_all(t):
-    return I.load_counters(t.old_snapshot(), t.new_snapshot())
-
-
-@query("SELECT ns.identity, ns.hash FROM ns LEFT JOIN os ON os.identity = ns.identity WHERE os.hash IS DISTINCT FROM ns.hash", W4_ALL)
-def load_changed_all(t):
-    return I.changed_rows(t.old_snapshot(), t.new_snapshot()).select("identity", "hash")
-
-
-@query("SELECT identity FROM df WHERE change = 'removed'", W4_ALL)
-def load_stale_all(t):
-    return I.stale(t.old_snapshot(), t.new_snapshot())
-
-
-@query("SELECT coalesce(ns.identity, os.identity) AS identity, coalesce(ns.hash, os.hash) AS hash FROM os FULL JOIN ns ON os.identity = ns.identity", W4_ALL)
-def merge_nodes_all(t):
-    return I.merge(t.old_snapshot(), t.new_snapshot(), ["identity"])
-
-
-@query("SELECT 'node' AS kind, 'File' AS type, split_part(identity, ':', 3) AS project, change FROM df WHERE change = 'changed'", W4_ALL)
-def delta_changed_all(t):
-    return I.parse_identity(I.diff(t.old_snapshot(), t.new_snapshot())).where("change = 'changed'").select("kind", "type", "project", "change")
-
-
-@query("SELECT count(*) FILTER (os.hash = ns.hash) AS hits, count(*) FILTER (os.hash IS DISTINCT FROM ns.hash) AS misses FROM ns LEFT JOIN os ON os.identity = ns.identity", W4_ALL)
-def cache_counters_all(t):
-    hits, misses = I.with_cache(t.new_snapshot(), t.old_snapshot(), "identity", "hash")
-    return hits.agg(F.count("*").alias("hits")).crossJoin(misses.agg(F.count("*").alias("misses")))
-
-
-@query("SELECT l_suppkey AS repo, l_partkey::VARCHAR AS rel_path, count(DISTINCT l_orderkey) AS commits, sum(l_quantity::BIGINT)::BIGINT AS added, sum(l_linenumber)::BIGINT AS removed FROM lineitem GROUP BY l_suppkey, l_partkey")
-def numstat_parse_all(t):
-    # a supplier is a repository, with a text of its own
-    d = t["lineitem"].select("l_suppkey", "l_orderkey", F.concat_ws("\t", F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("line"))
-    c = d.groupBy("l_suppkey", "l_orderkey").agg(F.concat(F.lit("COMMIT\n"), F.array_join(F.collect_list("line"), "\n")).alias("c"))
-    return X.numstat(c.groupBy(F.col("l_suppkey").alias("repo")).agg(F.array_join(F.collect_list("c"), "\n").alias("text")), "repo")
-
-
 # --- text ----------------------------------------------------------------------
 
 
@@ -614,14 +536,34 @@ def module_names(t):
     return t["pages"].select("url", X.module_name(p).alias("module"), X.language(F.col("url")).alias("language"))
 
 
-@query("SELECT doc_id, pos AS line_no, 'LOW' AS severity, 'Possible hardcoded password' AS message, substr(trim(line), 1, 50) AS code FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT AS pos FROM documents) WHERE contains(lower(line), 'password') AND contains(line, '=')")
+#: A brand is a file; a part is a line of it that breaks a rule, two or none.
+_LINT = """ln AS (SELECT p_brand AS file, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INT AS line_no,
+  CASE p_partkey % 6 WHEN 0 THEN '  x = eval(User_' || p_partkey || ')' WHEN 1 THEN 'exec(user' || p_size || ')' WHEN 2 THEN 'q("SELECT {' || p_size || '}")' WHEN 3 THEN 'Password = ' || p_name || ' and a comment that is cut off at fifty characters' WHEN 4 THEN 'password = eval(user)' ELSE 'select ' || p_name END AS line FROM part),
+li AS (SELECT file, line_no, line, CASE WHEN contains(line, 'eval(') AND contains(lower(line), 'user') THEN 'HIGH' END AS severity, 'Potential user input in eval()' AS message FROM ln
+  UNION ALL SELECT file, line_no, line, CASE WHEN contains(line, 'exec(') AND contains(lower(line), 'user') THEN 'HIGH' END, 'Potential user input in exec()' FROM ln
+  UNION ALL SELECT file, line_no, line, CASE WHEN contains(line, 'SELECT') AND contains(line, '{') THEN 'MEDIUM' END, 'Possible SQL injection risk' FROM ln
+  UNION ALL SELECT file, line_no, line, CASE WHEN contains(line, '=') AND contains(lower(line), 'password') THEN 'LOW' END, 'Possible hardcoded password' FROM ln)"""
+
+
+def _lint(t):
+    k, s = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    n = F.col("p_partkey") % 6
+    line = (
+        F.when(n == 0, F.concat(F.lit("  x = eval(User_"), k, F.lit(")"))).when(n == 1, F.concat(F.lit("exec(user"), s, F.lit(")"))).when(n == 2, F.concat(F.lit('q("SELECT {'), s, F.lit('}")')))
+        .when(n == 3, F.concat(F.lit("Password = "), "p_name", F.lit(" and a comment that is cut off at fifty characters"))).when(n == 4, "password = eval(user)").otherwise(F.concat(F.lit("select "), "p_name"))
+    )
+    files = t["part"].groupBy(F.col("p_brand").alias("file")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))).alias("ls"))
+    return X.lint(files.select("file", F.array_join("ls.line", "\n").alias("text")), "file")
+
+
+@query("SELECT file, line_no, severity, message, substr(trim(line), 1, 50) AS code FROM li WHERE severity IS NOT NULL", _LINT)
 def lint_issues(t):
-    return X.lint(t["documents"], "doc_id").where("severity = 'LOW'")
+    return _lint(t)
 
 
-@query("SELECT 0::BIGINT AS high, 0::BIGINT AS medium, count(*) AS low, 0 AS blocked FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE contains(lower(line), 'password') AND contains(line, '=')")
+@query("SELECT count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low, (count(*) FILTER (severity = 'HIGH') > 0)::INT AS blocked FROM li", _LINT)
 def lint_gate(t):
-    return X.severity_gate(X.lint(t["documents"], "doc_id").where("severity = 'LOW'"))
+    return X.severity_gate(_lint(t))
 
 
 @query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 1, 20), chr(10)) AS head FROM documents")
@@ -635,23 +577,45 @@ _BAND = _SIG + ", bd AS (" + " UNION ALL ".join(f"SELECT id, {b} AS b, " + " ||
 
 
 def _tokens(t):
-    return t.docs().select("id", F.explode(Y.tokens(F.col("text"))).alias("token"))
+    return t.docs().select("id", Y.tokens(F.col("text")).alias("tokens"))
+
 
+def _candidates(t, s):
+    return Y.candidates(G.settle(Y.signatures(s.where(F.size("tokens") > 0))))
 
-@query("SELECT * FROM sg", _SIG)
+
+@query("SELECT doc_id AS id, " + ", ".join(f"coalesce(h{i}, '0000000000000000') AS h{i}" for i in range(12)) + " FROM documents LEFT JOIN sg ON sg.id = doc_id", _SIG)
 def minhash_signatures(t):
     return Y.signatures(_tokens(t))
 
 
 @query("SELECT l, r FROM cand", _BAND)
 def lsh_candidates(t):
-    return Y.candidates(G.settle(Y.signatures(_tokens(t))))
+    return _candidates(t, _tokens(t))
+
 
+_PAIRS = _BAND + """, n AS (SELECT id, count(*) AS n FROM tk GROUP BY 1),
+pr AS (SELECT l, r, round(c / (a.n + b.n - c), 6) AS similarity, c / (a.n + b.n - c) AS s FROM (SELECT l, r, count(*) AS c FROM cand JOIN tk x ON x.id = l JOIN tk y ON y.id = r AND y.token = x.token GROUP BY 1, 2) JOIN n a ON a.id = l JOIN n b ON b.id = r),
+body AS (SELECT doc_id, sha1(coalesce(text, '')) AS h FROM documents)"""
 
-@query("SELECT l, r, round(c / (a.n + b.n - c), 6) AS similarity FROM (SELECT l, r, count(*) AS c FROM cand JOIN tk x ON x.id = l JOIN tk y ON y.id = r AND y.token = x.token GROUP BY 1, 2) JOIN (SELECT id, count(*) AS n FROM tk GROUP BY 1) a ON a.id = l JOIN (SELECT id, count(*) AS n FROM tk GROUP BY 1) b ON b.id = r WHERE c / (a.n + b.n - c) >= 0.65", _BAND)
+
+@query("SELECT l, r, similarity FROM pr WHERE s >= 0.65", _PAIRS)
 def similar_pairs(t):
     s = G.settle(_tokens(t))
-    return Y.jaccard(Y.candidates(G.settle(Y.signatures(s))), s, 0.65)
+    return Y.jaccard(_candidates(t, s), s, 0.65)
+
+
+@query("SELECT l, r, similarity, 'token_jaccard' AS evidence FROM pr WHERE s >= 0.65 ORDER BY similarity DESC, l, r LIMIT 1000", _PAIRS)
+def file_pairs(t):
+    s = G.settle(_tokens(t))
+    return Y.ranked(Y.jaccard(_candidates(t, s), s, 0.65).withColumn("evidence", F.lit("token_jaccard")), 1000)
+
+
+@query("""SELECT l, r, similarity, evidence FROM (SELECT a.doc_id AS l, b.doc_id AS r, 1.0::DOUBLE AS similarity, 'exact_hash' AS evidence FROM body a JOIN body b ON a.h = b.h AND a.doc_id < b.doc_id
+  UNION ALL SELECT l, r, similarity, 'token_jaccard' FROM pr JOIN body a ON a.doc_id = l JOIN body b ON b.doc_id = r WHERE s >= 0.8 AND a.h <> b.h) ORDER BY similarity DESC, l, r LIMIT 2000""", _PAIRS)
+def function_pairs(t):
+    d = G.settle(t.docs().select("id", F.sha1("text").alias("body_hash"), Y.tokens(F.col("text")).alias("tokens")))
+    return Y.function_pairs(d, _candidates(t, d), 0.8, 2000)
 
 
 @query("SELECT a.doc_id AS l, b.doc_id AS r FROM documents a JOIN documents b ON sha1(a.text) = sha1(b.text) AND a.doc_id < b.doc_id")
@@ -659,9 +623,41 @@ def exact_clones(t):
     return Y.exact_clones(t.docs().select("id", F.sha1("text").alias("body_hash")))
 
 
-@query("SELECT url AS path, regexp_matches(html, '(?i)\\breport\\b|\\bmanifest\\b|\\bcatalog\\b|\\binventory\\b|\\bindex\\b')::INT AS aggregate, regexp_matches(html, '\\bsuffix\\b|\\bendswith\\(|\\bfnmatch\\b|\\binclude\\b|\\bexclude\\b|\\bextension\\b|\\bpattern\\b')::INT AS filter, regexp_matches(regexp_extract(url, '[^/]*$'), '(?i)(scan|scanner|index|catalog|inventory|audit|collect|discover|extract)')::INT AS name_hint FROM pages")
+@query("SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY sha1(coalesce(text, ''))) AS class_id, count(*) OVER (PARTITION BY sha1(coalesce(text, ''))) AS copies FROM documents")
+def clone_classes(t):
+    return Y.clone_classes(t.docs().select("id", F.sha1("text").alias("body_hash")))
+
+
+#: A part is a file whose text has some of the signals.
+_PIECES = ((2, "for d in os.walk(root):"), (3, "  x = open(d)"), (5, "  if d.suffix in known:"), (7, "  n = d.stat().st_size"), (4, "  json.dump(n, out)"), (6, "import os"))
+_SIGNS = (
+    "tx AS (SELECT p_type || CASE WHEN p_partkey % 10 = 0 THEN '/scan_' ELSE '/x' END || p_partkey || '.py' AS path, concat_ws(chr(10), 'x = 1', " + ", ".join(f"CASE WHEN p_partkey % {n} = 0 THEN '{p}' END" for n, p in _PIECES) + ") AS html FROM part), "
+    "cs AS (SELECT path, " + ", ".join(f"regexp_matches(html, '{p.replace(chr(39), chr(39) * 2)}')::INT AS {k}" for k, p in Y.SIGNALS.items())
+    + f""", regexp_matches(regexp_extract(path, '[^/]*$'), '{Y.NAME_HINT}')::INT AS name_hint FROM tx),
+sc AS (SELECT *, round({" + ".join(f"{k} * {w}" for k, w in Y.WEIGHTS.items())}, 3)::DOUBLE AS score, concat_ws(',', {", ".join(f"CASE WHEN {k} = 1 THEN '{k}' END" for k in sorted(Y.WEIGHTS))}) AS evidence FROM cs),
+fc AS (SELECT *, ((walk = 1 AND (read = 1 OR metadata = 1 OR aggregate = 1) AND score >= 4.0) OR score >= 5.0)::INT AS is_collector FROM sc)"""
+)
+
+
+def _signals(t):
+    k = F.col("p_partkey")
+    text = F.concat_ws("\n", F.lit("x = 1"), *(F.when(k % n == 0, p) for n, p in _PIECES))
+    return Y.collector_signals(t["part"].select(F.concat("p_type", F.when(k % 10 == 0, "/scan_").otherwise("/x"), k.cast("string"), F.lit(".py")).alias("path"), text.alias("text")))
+
+
+@query("SELECT path, walk, read, filter, metadata, aggregate, fs_imports, name_hint, score, is_collector, evidence FROM fc", _SIGNS)
 def collector_signals(t):
-    return Y.collector_signals(t["pages"].select(F.col("url").alias("path"), F.col("html").alias("text"))).select("path", "aggregate", "filter", "name_hint")
+    return _signals(t)
+
+
+@query("SELECT count(*) AS files, sum(is_collector)::BIGINT AS collectors, avg(is_collector)::DOUBLE AS ratio, coalesce((SELECT string_agg(path, ',' ORDER BY score DESC, path) FROM (SELECT path, score FROM fc WHERE is_collector = 1 ORDER BY score DESC, path LIMIT 50)), '') AS top FROM fc", _SIGNS)
+def collector_summary(t):
+    return Y.collector_summary(G.settle(_signals(t)))
+
+
+@query("SELECT path, score FROM fc WHERE is_collector = 1 ORDER BY score DESC, path LIMIT 50", _SIGNS)
+def top_collectors(t):
+    return Y.top_collectors(_signals(t))
 
 
 def _nodes(t):
@@ -691,7 +687,12 @@ def vector_top_k(t):
     return M.nearest(v, q).select("uid", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+def _digests(table: str, cols: str) -> str:
+    limbs = ", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT)::VARCHAR, '0')" for k in range(8))
+    return f"(SELECT count(*) AS n, concat_ws(',', {limbs}) AS h FROM (SELECT sha256({cols}) AS h FROM {table}))"
+
+
+@query(f"SELECT a.n AS n_nodes, b.n AS n_edges, sha256(a.h || '|' || b.h) AS fingerprint FROM {_digests('fn', 'uid')} a, {_digests('edges', 'src || chr(31) || dst')} b", W1)
 def graph_fingerprint(t):
     return I.fingerprint(t.functions(), t.edges())
 
@@ -706,3 +707,7 @@ def raw_query(t):
     """Raw SQL over the graph's views, as the query command runs it."""
     t.functions().createOrReplaceTempView("nodes")
     return t.spark.sql("SELECT uid, name FROM nodes WHERE project = :p", args={"p": A})
+
+
+# the other parts of the registry
+from graphloom.plans import catalog_queries, signal_queries, source_queries  # noqa: E402, F401

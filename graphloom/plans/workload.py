@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.extract import function_uid, signature
 from graphloom.operators.graph import resolve_calls
+from graphloom.storage import still_there, write_table
+
+_loaded: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Tables:
@@ -25,27 +28,47 @@ class Tables:
         d = d.withColumn("file_uid", F.concat_ws(":", "project", "rel_path"))
         return d.withColumns({"uid": function_uid(F.col("file_uid"), F.col("name"), F.col("line")), "signature_hash": signature(F.col("project"), F.col("rel_path"), F.col("name"))})
 
+    def _load(self, name: str, make) -> DataFrame:
+        """A table of the graph, made once in an application and read from then on."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _loaded or not still_there(_loaded[key]):
+            _loaded[key] = write_table(make(), name)
+        return _loaded[key]
+
     def calls(self) -> DataFrame:
         """(src, callee): a part calls the name of the part one line further in an order."""
-        li = self["lineitem"]
-        a = li.select("l_orderkey", (F.col("l_linenumber") + 1).alias("n"), F.col("l_partkey").alias("line"))
-        b = li.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("other"))
-        pairs = a.join(b, ["l_orderkey", "n"]).select("line", "other").distinct()
-        f = self.functions()
-        return pairs.join(f.select("line", F.col("uid").alias("src")), "line").join(f.select(F.col("line").alias("other"), F.col("name").alias("callee")), "other").select("src", "callee").distinct()
+        return self._load("calls", self._calls)
 
     def edges(self) -> DataFrame:
-        return resolve_calls(self.functions(), self.calls())
+        return self._load("edges", lambda: resolve_calls(self.functions(), self.calls()))
+
+    def all_nodes(self) -> DataFrame:
+        """(label, uid) of projects, files, functions and called symbols."""
+        f = self.functions()
+        node = lambda d, label, uid: d.select(F.lit(label).alias("label"), uid.alias("uid")).distinct()
+        return node(f, "Project", F.col("project")).union(node(f, "File", F.col("file_uid"))).union(node(f, "Function", F.col("uid"))).union(node(self.calls(), "Symbol", F.concat(F.lit("symbol:"), "callee")))
 
-    def old_state(self) -> DataFrame:
-        return self._state(F.col("o_orderkey") < 10000)
+    def all_edges(self) -> DataFrame:
+        """(type, src, dst) of all relationships."""
+        f = self.functions()
+        edge = lambda d, kind, a, b: d.select(F.lit(kind).alias("type"), a.alias("src"), b.alias("dst"))
+        out = edge(f, "CONTAINS", F.col("project"), F.col("file_uid")).distinct().union(edge(f, "DEFINES", F.col("file_uid"), F.col("uid")))
+        return out.union(edge(self.calls(), "CALLS", F.col("src"), F.concat(F.lit("symbol:"), "callee"))).union(edge(self.edges(), "CALLS_FUNCTION", F.col("src"), F.col("dst")))
+
+    def call_sites(self) -> DataFrame:
+        """(src, callee) with repeats: a call for each place where one part follows another."""
+        return self._sites().select("src", "callee")
 
-    def new_state(self) -> DataFrame:
-        return self._state((F.col("o_orderkey") < 11000) & (F.col("o_custkey") % 7 != 3))
+    def _calls(self) -> DataFrame:
+        return self._sites().select("src", "callee").distinct()
 
-    def _state(self, rows) -> DataFrame:
-        d = self["orders"].where(rows).groupBy("o_custkey").agg(F.count("*").alias("c"), F.max("o_orderkey").alias("m"))
-        return d.select(F.concat(F.lit("node:File:"), F.col("o_custkey").cast("string")).alias("identity"), F.sha2(F.concat_ws("|", F.col("c").cast("string"), F.col("m").cast("string")), 256).alias("hash"))
+    def _sites(self) -> DataFrame:
+        li = self["lineitem"]
+        a = li.select("l_orderkey", (F.col("l_linenumber") + 1).alias("n"), F.col("l_partkey").alias("line"))
+        b = li.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("other"))
+        f = self.functions()
+        pairs = a.join(b, ["l_orderkey", "n"]).join(f.select("line", F.col("uid").alias("src")), "line")
+        return pairs.join(f.select(F.col("line").alias("other"), F.col("name").alias("callee")), "other")
 
     def old_snapshot(self) -> DataFrame:
         """State of all orders before: a file is a customer's orders of one priority."""
@@ -73,13 +96,8 @@ edges AS (SELECT DISTINCT f.uid AS src, g.uid AS dst FROM calls JOIN fn f ON f.u
   JOIN fn g ON g.project = f.project AND g.dir = f.dir AND g.name = calls.callee WHERE f.uid <> g.uid),
 deg AS (SELECT fn.*, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out FROM fn
   LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY 1) i ON i.dst = fn.uid LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY 1) o ON o.src = fn.uid)"""
+#: States of all orders; they differ by order status.
 W4 = """
-os AS (SELECT 'node:File:' || o_custkey AS identity, sha256(count(*) || '|' || max(o_orderkey)) AS hash FROM orders WHERE o_orderkey < 10000 GROUP BY o_custkey),
-ns AS (SELECT 'node:File:' || o_custkey AS identity, sha256(count(*) || '|' || max(o_orderkey)) AS hash FROM orders WHERE o_orderkey < 11000 AND o_custkey % 7 <> 3 GROUP BY o_custkey),
-df AS (SELECT coalesce(os.identity, ns.identity) AS identity, CASE WHEN os.hash IS NULL THEN 'added' WHEN ns.hash IS NULL THEN 'removed'
-  WHEN os.hash <> ns.hash THEN 'changed' ELSE 'unchanged' END AS change FROM os FULL JOIN ns ON os.identity = ns.identity)"""
-#: W4 over all orders: the states differ by order status, not by key.
-W4_ALL = """
 os AS (SELECT 'node:File:' || o_custkey || '/' || o_orderpriority AS identity, sha256(count(*) || '|' || max(o_orderkey)) AS hash FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey, o_orderpriority),
 ns AS (SELECT 'node:File:' || o_custkey || '/' || o_orderpriority AS identity, sha256(count(*) || '|' || max(o_orderkey)) AS hash FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey, o_orderpriority),
 df AS (SELECT coalesce(os.identity, ns.identity) AS identity, CASE WHEN os.hash IS NULL THEN 'added' WHEN ns.hash IS NULL THEN 'removed'

@@ -19,7 +19,7 @@ PARSED = record(
 )
 AST = T.StructType([*record(("project", "string"), ("path", "string"), ("rel_path", "string")).fields, *PARSED.fields])
 EVENT = record(
-    ("file_pos", "long"), ("branch", "int"), ("i", "int"), ("kind", "string"), ("label", "string"), ("uid", "string"), ("type", "string"),
+    ("file_pos", "long"), ("branch", "int"), ("i", "long"), ("kind", "string"), ("label", "string"), ("uid", "string"), ("type", "string"),
     ("src_label", "string"), ("src_uid", "string"), ("dst_label", "string"), ("dst_uid", "string"), ("props", T.MapType(T.StringType(), T.StringType())),
 )
 HASHES = record(("identity", "string"), ("hash", "string"))

@@ -9,6 +9,7 @@ import sqlite3
 import subprocess
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,13 +50,19 @@ def read_dotenv(text: str) -> dict[str, str]:
     return out
 
 
+@cache
+def _dotenv_file(path: Path) -> dict[str, str]:
+    """Variables of a .env file, read once in a process."""
+    return read_dotenv(path.read_text(encoding="utf-8"))
+
+
 def environment(config_dir: Path, cwd: Path | None = None) -> dict[str, str]:
     """Variables of .env files in the working folder, the configuration's and its ancestors;
     later ones win among them, the real environment over all."""
     found: dict[str, str] = {}
     for d in [cwd or Path.cwd(), config_dir, *config_dir.parents]:
-        if (f := d / ".env").is_file():
-            found.update(read_dotenv(f.read_text(encoding="utf-8")))
+        if (d / ".env").is_file():
+            found.update(_dotenv_file(d / ".env"))
     return {**found, **os.environ}
 
 
@@ -109,6 +116,8 @@ def scan(spark: SparkSession, projects: list[Project], settings: Settings | None
             d = d.orderBy(F.split("rel_path", "/")).limit(settings.max_files)
         out = d if out is None else out.unionByName(d)
     cols = ["project", "root", "path", "rel_path", "ext", "size"]
+    if out is None:
+        return spark.createDataFrame([], ", ".join(f"{c} {'long' if c == 'size' else 'string'}" for c in [*cols, *(["text"] if content else [])]))
     return out.select(*cols, F.decode("content", "UTF-8").alias("text")) if content else out.select(*cols)
 
 
@@ -127,6 +136,11 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """A report with a header line."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
 def read_document(path: str) -> dict:
     """A JSON object; {} for anything else."""
     try:

@@ -51,6 +51,17 @@ def drop_table(df: DataFrame) -> None:
         _delete(df.sparkSession, folder)
 
 
+def still_there(df: DataFrame) -> bool:
+    """Whether the files of a written table exist."""
+    spark = df.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for f in df.inputFiles()[:1]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        if not p.getFileSystem(conf).exists(p):
+            return False
+    return True
+
+
 def clean(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application, when no result is read any more."""
     _delete(spark, own_dir(spark))

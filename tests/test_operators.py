@@ -121,9 +121,10 @@ def test_collectors(spark):
 
 
 def test_similarity(spark):
-    rows = [(k, w) for k, t in enumerate(["a b c d e f g h", "a b c d e f g h", "x y z"]) for w in t.split()]
-    s = spark.createDataFrame(rows, "id long, token string")
-    pairs = Y.candidates(Y.signatures(s))
+    rows = [(k, t.split()) for k, t in enumerate(["a b c d e f g h", "a b c d e f g h", "x y z", ""])]
+    s = spark.createDataFrame(rows, "id long, tokens array<string>")
+    assert Y.signatures(s).where("id = 3").first().h7 == "0" * 16
+    pairs = Y.candidates(Y.signatures(s.where(F.size("tokens") > 0)))
     assert [(r.l, r.r, r.similarity) for r in Y.jaccard(pairs, s, 0.65).collect()] == [(0, 1, 1.0)]
 
 

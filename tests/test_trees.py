@@ -25,7 +25,7 @@ def test_vectors_are_stable(spark):
 def test_audit_and_campaign():
     cols = {"projects": {"path"}, "enrichment": {"source_path"}}
     a = {(t, k): s for t, k, s in Tr.key_audit([("projects", ("path", "name"))], cols)}
-    assert a["projects", "path"] == "present" and a["enrichment", "source_path"] == "missing" and a["enrichment", "updated_at"] == "column_missing" and a["call_edges", "source_path,caller_uid"] == "table_missing"
+    assert a["projects", "path"] == "present" and a["enrichment", "source_path"] == "missing" and a["enrichment", "updated_at"] == "column_missing" and a["call_edges", "caller_uid"] == "table_missing" and len(a) == 18
     plan = Tr.campaign([{"path": "a"}, {"path": "b"}], lambda p: p == "a")
     assert [p["status"] for p in plan] == ["planned", "skipped_missing_path"]
     assert [p["status"] for p in Tr.campaign([{"path": "a"}, {"path": "b"}], lambda p: True, lambda p: p["path"] == "b", True)] == ["failed"]
