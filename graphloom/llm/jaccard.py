@@ -5,13 +5,14 @@ picks a few of its tokens: those whose run-specific hash is below 1 / (threshold
 so that two sets of the wanted similarity share a pick more often than not, and
 dissimilar ones hardly ever. Sets with a shared pick meet in a bucket, and the recursion
 begins: a small bucket is brute-forced, by 64-byte sketches first, which only rule out
-pairs far below the threshold; a dense one, whose sets are on average nearly as similar
-to a set in it as the threshold asks (told by the sketches), is brute-forced as well; any
-other is split again by the next level's picks, of which there are more, and its parts are
-treated alike. What is neither small nor dense after ``DEPTH`` levels is brute-forced.
-``runs`` repetitions give the target recall: a pair at the threshold meets in one run
-with probability 1 - 1/e, and 95 % of that at each further level, so ten runs find 99.99 %
-of pairs in small or dense buckets and 99.96 % of those split down to the last level.
+pairs far below the threshold; any other is split again by the next level's picks, of
+which there are ``rate`` / threshold for a set, and its parts are treated alike. A split
+multiplies the pairs that meet by about rate / threshold times their mean similarity, so
+a dense bucket, where that is 1 or more (told by the sketches), is brute-forced, and so is
+what is neither small nor dense after ``DEPTH`` levels. ``runs`` repetitions give the
+target recall: a pair at the threshold meets in one run with probability 1 - 1/e, and with
+92 % of that at each further level, so twelve runs find 99.999 % of pairs in buckets that
+are small or dense at once, and 99.97 % of those split down to the last level.
 
 No bucket is capped, and pairs are never written out. Buckets that are brute-forced for
 being dense or deep are joined into groups, compared in pairs of blocks, where every
@@ -33,19 +34,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import textkit as tk
-from graphloom.llm.common import components, groups, prepare, stash
+from graphloom.llm.common import components, discard, groups, prepare, stash
 
-RUNS = 10  # 16 at most
+RUNS = 12  # 16 at most
 DEPTH = 4  # levels of picks
-RATES = (1, 3, 3, 3)  # expected picks of a set in a run, times the threshold, by level
+RATES = (1, 2.5, 2.5, 2.5)  # expected picks of a set in a run, times the threshold, by level
 SMALL = 128  # sets of a brute-forced bucket, at most
 MASS = 8_000_000  # tokens of a small bucket, or of a block on average, at most (64 MB)
 BINS = 64  # bytes of a set's sketch
 BLOCK = 384  # sets of a block of a group, on average
-#: A bucket is dense if the mean similarity to a set in it is this part of the threshold.
-DENSE = 0.9
-#: Keys of large buckets that are broadcast, at most (8 bytes each); more are joined by a shuffle.
+#: Keys of large buckets, or of documents, that are broadcast, at most (tens of MB); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Large buckets whose centers are sent to the workers, at most (150 bytes each); more are joined.
+BROADCAST_CENTERS = 60_000
 
 _rng = np.random.default_rng(20240229)
 MULTIPLIERS = (_rng.integers(1, 1 << 63, (DEPTH, 16), np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -198,9 +199,7 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
     prepare(spark)
     # comparing costs more than moving: no coalescing by bytes
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = docs.schema[key].dataType
-    lists = pa.list_(pa.int64())
-    schema = T.StructType().add(key, kind).add("sid", "binary").add("size", "long").add("picks", T.ArrayType(T.LongType())).add("sketch", "binary")
+    schema = T.StructType().add(key, docs.schema[key].dataType).add("sid", "binary").add("size", "long").add("picks", T.ArrayType(T.LongType())).add("sketch", "binary")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,7 +217,8 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
 
     def texts_of(some: DataFrame) -> DataFrame:
         """Texts of the classes' representatives, and of what has their keys."""
-        reps = some.select(F.col("rep").alias("_r")).distinct().hint("merge")
+        reps = some.select(F.col("rep").alias("_r")).distinct()
+        reps = F.broadcast(reps) if some.count() <= BROADCAST_KEYS else reps.hint("merge")
         return docs.select(F.col(key).alias("_k"), "text").join(reps, F.col("_k").eqNullSafe(F.col("_r")), "left_semi").select("text")
 
     def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,11 +228,26 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
                 levels = [picks(us, k, runs, threshold) for k in range(1, DEPTH)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(u) for u in us], pa.binary()), *levels], names=["sid", *(f"p{k}" for k in range(1, DEPTH))])
 
+    def bytes_of(col: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, BINS)
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (3, 4, 5))
+            own, one, two = (bytes_of(b.column(i)) for i in (3, 4, 5))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(estimate(own, one)), pa.array(estimate(own, two))], names=["sid", "k", "center", "one", "two"])
 
+    def against(centers) -> object:
+        """The same, with the centers at hand."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ks, center, one, two = centers.value
+            for b in batches:
+                at = np.searchsorted(ks, b.column(1).to_numpy())
+                own = bytes_of(b.column(2))
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([center[i] for i in at], pa.binary()), pa.array(estimate(own, one[at])), pa.array(estimate(own, two[at]))], names=["sid", "k", "center", "one", "two"])
+
+        return run
+
     paths, leaves, stars, deep = classes.select("sid", "size", F.explode("picks").alias("k")), [], [], None
     for level in range(DEPTH):
         sizes = stash(paths.groupBy("k").agg(F.count("*").alias("c"), F.sum("size").alias("mass")).where("c > 1"), "sizes")
@@ -249,24 +264,32 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
         centers = drawn.groupBy("k").agg(F.min(F.struct("sid", "sketch")).alias("x"), F.max(F.struct("sid", "sketch")).alias("y"))
         centers = centers.select("k", F.col("x.sid").alias("center"), F.col("x.sketch").alias("s1"), F.col("y.sketch").alias("s2"))
         centers = stash(centers, "centers")
-        centers = F.broadcast(centers) if many <= BROADCAST_KEYS // 16 else centers
-        seen = drawn.join(centers, "k").select("sid", "k", "center", "sketch", "s1", "s2").mapInArrow(compared, "sid binary, k long, center binary, one double, two double")
+        kind = "sid binary, k long, center binary, one double, two double"
+        if many <= BROADCAST_CENTERS:
+            got = sorted(centers.collect(), key=lambda r: r[0])
+            sketches = [np.frombuffer(b"".join(r[i] for r in got), np.uint8).reshape(-1, BINS) for i in (2, 3)]
+            held_centers = spark.sparkContext.broadcast((np.array([r[0] for r in got], np.int64), [bytes(r[1]) for r in got], *sketches))
+            seen = drawn.select("sid", "k", "sketch").mapInArrow(against(held_centers), kind)
+        else:
+            seen = drawn.join(centers, "k").select("sid", "k", "center", "sketch", "s1", "s2").mapInArrow(compared, kind)
         seen = stash(seen, "compared")
         dense = seen.groupBy("k").agg(F.greatest(F.avg("one"), F.avg("two")).alias("mean"))
-        dense = stash(dense.where(F.col("mean") >= (DENSE * threshold if level < DEPTH - 1 else -1.0)).select("k"), "dense")
+        dense = stash(dense.where(F.col("mean") >= (threshold / RATES[level + 1] if level < DEPTH - 1 else -1.0)).select("k"), "dense")
         dense = F.broadcast(dense) if many <= BROADCAST_KEYS else dense
         stars.append(stash(seen.join(dense, "k", "left_semi").select(F.col("sid").alias("a"), F.col("center").alias("b")), "stars"))
         rest = big.join(dense, "k", "left_anti")
         if level == DEPTH - 1 or rest.isEmpty():
             break
         if deep is None:  # of sets that are split at all; the parts hold no others
-            some = rest.select("sid").distinct()
+            some = stash(classes.select("sid", "rep").join(rest.select("sid").distinct(), "sid", "left_semi"), "split")
             kinds = "sid binary, " + ", ".join(f"p{k} array<long>" for k in range(1, DEPTH))
-            deep = stash(texts_of(classes.join(some, "sid", "left_semi")).mapInArrow(deeper, kinds).dropDuplicates(["sid"]), "deeper")
+            deep = stash(texts_of(some).mapInArrow(deeper, kinds).dropDuplicates(["sid"]), "deeper")
         run = F.lit(15).cast("long")
         each = rest.groupBy("sid", "size").agg(F.collect_list("k").alias("ks")).join(deep.select("sid", F.col(f"p{level + 1}").alias("p")).hint("merge"), "sid")
         child = F.flatten(F.transform("ks", lambda k: F.transform(F.filter("p", lambda p: p.bitwiseAND(run) == k.bitwiseAND(run)), lambda p: F.xxhash64(k, p).bitwiseAND(F.lit(-16).cast("long")).bitwiseOR(k.bitwiseAND(run)))))
         paths = stash(each.select("sid", "size", F.explode(child).alias("k")), "paths")
+        for done in (sizes, big, seen, centers):
+            discard(done)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, "k"):
@@ -290,6 +313,7 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
 
     known = leaves.groupBy("sid").agg(F.array_sort(F.collect_set("k")).alias("keys")).join(dense.select("sid", "dense"), "sid", "full")
     info = stash(known.join(classes.select("sid", "rep", "copies").hint("merge"), "sid"), "info")
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for us in sets(b.column(0), n):
