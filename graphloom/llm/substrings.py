@@ -6,17 +6,21 @@ one, chosen by the window's own bytes, and consecutive windows with one trigger
 phrase. A phrase with the bytes that its windows reach is a context. The distinct
 contexts are the dictionary, the sequence of contexts in a text is its parse.
 
-In the order of all suffixes, suffixes that share ``length`` bytes are neighbours; they
-have the same phrase suffix and the same continuation of the parse. Only equality up to
-``length`` bytes matters here, so both are ranked by fingerprints, not by a total order:
-  - parse: contexts that occur twice repeat in every one of their windows;
-  - dictionary: contexts that share the ``seed`` bytes behind their trigger with another
-    one are the only ones that can share a single window. One occurrence of each stands
-    for all. Its windows fall into bands by their distance to the trigger, all windows of
-    a band hold the same long stretch, and only those whose stretch another context has
-    too are matched by their own fingerprints.
-Bulk copies thus never leave the parse, whose size is the text's divided by about half
-of ``reach``. No group is collected.
+In the order of all suffixes of the corpus, windows that are equal are neighbours. A
+window that begins a bytes before its trigger is ordered by the a bytes of its phrase
+that end there, and then by the parse, that is by the text from the trigger on:
+  - contexts that occur twice repeat in every one of their windows;
+  - of the others only those that share with another one the ``seed`` bytes that every
+    window has behind its trigger can share a window. For them two suffix arrays are built,
+    of the parse (contexts by the text from the trigger on) and of the dictionary (contexts
+    by their phrase, read backwards from the trigger), with the lengths that neighbours
+    have in common. Windows at distance a are equal if no neighbour on the way from one to
+    the other has less than a bytes in common in the second array, nor less than
+    ``length`` - a in the first.
+Both arrays are built by ranges of seeds, many at a time. A seed with more than ``HOT``
+contexts isn't gathered in a task: its windows fall into bands by their distance to the
+trigger, all windows of a band hold the same long stretch, and those whose stretch another
+context has too are matched by fingerprints. Bulk copies never leave the parse.
 """
 
 from __future__ import annotations
@@ -30,9 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import textkit as tk
-from graphloom.llm.common import discard, prepare, stash
+from graphloom.llm.common import discard, groups, prepare, stash
 
 LENGTH = 200
+#: Contexts that share a seed and are ordered in one task, at most (about 350 bytes each).
+HOT = 50_000
+#: Contexts that are ordered at once.
+BATCH = 20_000
 
 
 def shape(length: int) -> tuple[int, int, int]:
@@ -48,8 +56,8 @@ def band_width(length: int) -> int:
 
 
 def row_id(key: str) -> Column:
-    """A row's name, from its key and text: equal rows are equal documents."""
-    return F.xxhash64(F.col(key), F.col("text"))
+    """A row's name, 16 bytes of its key and text: equal rows are equal documents."""
+    return F.unhex(F.md5(F.concat_ws("\x1f", F.to_json(F.struct(F.col(key).alias("k"))), F.col("text"))))
 
 
 def phrases(data: np.ndarray, off: np.ndarray, length: int) -> dict[str, np.ndarray]:
@@ -100,6 +108,54 @@ def twice(df: DataFrame, *keys: str) -> DataFrame:
     return near.where("_b is not null or _a is not null").drop("_b", "_a")
 
 
+def suffix_array(seed: np.ndarray, parts: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of byte strings of at most ``width`` bytes by seed and then by their bytes, and for
+    each place in it the length in common with the one before, -1 where a seed begins."""
+    n = len(parts)
+    size = np.array([len(x) for x in parts], np.int64)
+    wide = -(-width // 8) * 8
+    m = np.zeros((n, wide), np.uint8)
+    row = np.repeat(np.arange(n), size)
+    m[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = np.concatenate(parts) if n else np.zeros(0, np.uint8)
+    words = m.view(">u8").astype(np.uint64)
+    order = np.lexsort((size, *(words[:, k] for k in range(words.shape[1] - 1, -1, -1)), seed))
+    m, size, seed = m[order], size[order], seed[order]
+    lcp = np.full(n, -1, np.int64)
+    differ = m[1:] != m[:-1]
+    first = np.where(differ.any(1), differ.argmax(1), wide)
+    lcp[1:] = np.where(seed[1:] == seed[:-1], np.minimum(first, np.minimum(size[1:], size[:-1])), -1)
+    return order, lcp
+
+
+def repeated(seed: np.ndarray, left: list[np.ndarray], right: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, a) of all windows that another context with the same seed has too: the window
+    that begins a bytes before the trigger is the end of ``left`` and the begin of ``right``."""
+    n = len(seed)
+    most = np.array([len(x) for x in left])
+    least = length - np.array([len(x) for x in right])
+    by_parse, common = suffix_array(seed, right, length)
+    by_phrase, ending = suffix_array(seed, [x[::-1] for x in left], int(most.max(initial=0)) or 1)
+    out_c, out_a = [], []
+    r, w = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for a in range(int(least.min(initial=0)), int(most.max(initial=-1)) + 1):
+        has = (least <= a) & (a <= most)
+        if has.sum() < 2:
+            continue
+        r[by_parse] = np.cumsum(common < length - a)
+        w[by_phrase] = np.cumsum(ending < a)
+        at = np.flatnonzero(has)
+        code = r[at] * (n + 1) + w[at]
+        order = np.argsort(code, kind="stable")
+        same = code[order][1:] == code[order][:-1]
+        hit = np.zeros(len(at), bool)
+        hit[1:] = same
+        hit[:-1] |= same
+        got = at[order][hit]
+        out_c.append(got)
+        out_a.append(np.full(len(got), a, np.int16))
+    return np.concatenate(out_c or [np.zeros(0, np.int64)]), np.concatenate(out_a or [np.zeros(0, np.int16)])
+
+
 def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     """Flags of the bytes in windows that begin at ``starts``."""
     d = np.zeros(n + 1, np.int32)
@@ -108,6 +164,62 @@ def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
+def by_seeds(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Whole seeds, at least ``least`` rows at a time, from batches sorted by seed."""
+    held: list[pa.Table] = []
+    for t in groups(batches, "seed"):
+        held.append(t)
+        if sum(x.num_rows for x in held) >= least:
+            yield pa.concat_tables(held)
+            held = []
+    if held:
+        yield pa.concat_tables(held)
+
+
+def by_bands(contexts: DataFrame, length: int) -> DataFrame:
+    """(seed, ctx, a) of windows that another context has too, over any number of contexts
+    with one seed: bands, then single windows of the bands that are alive."""
+    width = band_width(length)
+
+    def cells(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, int, int]]:
+        """(row, prefix sums, bytes before the trigger, least distance) of contexts."""
+        for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+            left, right = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+            yield i, tk.prefix(np.concatenate([left, right])), len(left), max(length - len(right), 0)
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, band, stretch = [], [], []
+            for i, pre, d, least in cells(b):
+                k = np.arange(least // width, d // width + 1)
+                # windows of a band hold what the first and the last of them share
+                s, e = d - k * width, d - k * width - width + 1 + length  # never outside of the context
+                row.append(np.full(len(k), i))
+                band.append(k)
+                stretch.append(tk.span_hash(pre, s, e).view(np.int64))
+            at = pa.array(np.concatenate(row or [np.zeros(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(band or [np.zeros(0, np.int64)]).astype(np.int16)), pa.array(np.concatenate(stretch or [np.zeros(0, np.int64)]))], names=["seed", "ctx", "band", "stretch"])
+
+    cut_up = stash(contexts.mapInArrow(bands, "seed long, ctx long, band short, stretch long"), "bands")
+    live = twice(cut_up, "seed", "band", "stretch").groupBy("seed", "ctx").agg(F.collect_set("band").alias("bands"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, dist, w = [], [], []
+            for i, pre, d, least in cells(b):
+                a = np.arange(least, d + 1)
+                a = a[np.isin(a // width, np.array(b.column(4)[i].as_py()))]
+                row.append(np.full(len(a), i))
+                dist.append(a)
+                w.append(tk.span_hash(pre, d - a, d - a + length).view(np.int64))
+            at = pa.array(np.concatenate(row or [np.zeros(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(dist or [np.zeros(0, np.int64)]).astype(np.int16)), pa.array(np.concatenate(w or [np.zeros(0, np.int64)]))], names=["seed", "ctx", "a", "w"])
+
+    fine = stash(contexts.join(live.hint("merge"), ["seed", "ctx"]).select("seed", "ctx", "left", "right", "bands").mapInArrow(windows, "seed long, ctx long, a short, w long"), "windows")
+    discard(cut_up)
+    return twice(fine, "seed", "w").select("seed", "ctx", "a")
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """(key, n_bytes, spans, kept) for every row of ``docs``.
 
@@ -122,67 +234,51 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH) -
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = tk.utf8(b.column(1))
-            rid = b.column(0).to_numpy()
             for i, j in tk.slices(off):
                 if p := phrases(data[off[i] : off[j]], off[i : j + 1] - off[i], length):
-                    yield pa.RecordBatch.from_arrays([pa.array(rid[i + p["row"]]), *(pa.array(p[k]) for k in ("s0", "n", "d", "seed", "ctx"))], names=["rid", "s0", "n", "d", "seed", "ctx"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + p["row"])), *(pa.array(p[k]) for k in ("s0", "n", "d", "seed", "ctx"))], names=["rid", "s0", "n", "d", "seed", "ctx"])
 
-    occ = stash(named.select("rid", "text").mapInArrow(parse, "rid long, s0 int, n int, d int, seed long, ctx long"), "parse")
+    occ = stash(named.select("rid", "text").mapInArrow(parse, "rid binary, s0 int, n int, d int, seed long, ctx long"), "parse")
     shared = occ.groupBy("seed").agg(F.count("*").alias("c"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("c > 1")
     active = stash(occ.join(shared.select("seed", (F.col("lo") != F.col("hi")).alias("mixed")).hint("merge"), "seed"), "active")
     discard(occ)
     classes = stash(active.groupBy("seed", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("rid", "s0", "n", "d")).alias("at"), F.first("mixed").alias("mixed")), "dictionary")
 
-    # of contexts that share a seed with others, one occurrence of each: bands, then windows
-    width = band_width(length)
-    reps = classes.where("mixed").select(F.col("at.rid").alias("rid"), "at.s0", "at.n", "at.d", "seed", "ctx")
-
-    def spots(reps: DataFrame) -> DataFrame:
-        each = reps.groupBy("rid").agg(F.collect_list(F.struct(*(c for c in reps.columns if c != "rid"))).alias("reps"))
-        return named.select("rid", "text").join(each.hint("merge"), "rid")
-
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, reps in texts(batches):
-            pre = tk.prefix(data)
-            s0, n, d = (reps.field(i).to_numpy().astype(np.int64) for i in range(3))
-            low = (d - n + 1) // width
-            count = d // width - low + 1
-            k = np.repeat(np.arange(len(n)), count)
-            band = low[k] + np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
-            s = (s0 + d)[k] - width * band
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(reps.field(3).to_numpy()[k]), pa.array(reps.field(4).to_numpy()[k]), pa.array(band.astype(np.int16)), pa.array(tk.span_hash(pre, s, s + length - width + 1).view(np.int64))],
-                names=["seed", "ctx", "band", "stretch"],
-            )
-
-    cut_up = stash(spots(reps).mapInArrow(bands, "seed long, ctx long, band short, stretch long"), "bands")
-    live = twice(cut_up, "seed", "band", "stretch").groupBy("seed", "ctx").agg(F.collect_set("band").alias("bands"))
-    reps = stash(reps.join(live.hint("merge"), ["seed", "ctx"]).select("rid", "s0", "n", "d", "seed", "ctx", "bands"), "live")
-    discard(cut_up)
+    # of contexts that share a seed with others, one occurrence of each, with its bytes
+    mixed = classes.where("mixed")
+    hot = mixed.groupBy("seed").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("seed", F.lit(True).alias("hot"))
+    reps = mixed.select(F.col("at.rid").alias("rid"), "at.s0", "at.n", "at.d", "seed", "ctx")
+    each = reps.groupBy("rid").agg(F.collect_list(F.struct(*(c for c in reps.columns if c != "rid"))).alias("reps"))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, reps in texts(batches):
-            pre = tk.prefix(data)
             s0, n, d = (reps.field(i).to_numpy().astype(np.int64) for i in range(3))
-            k = np.repeat(np.arange(len(n)), n)
-            a = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
-            on = reps.field(5)
-            alive = np.zeros((len(n), int(d.max()) // width + 1), bool)
-            alive[np.repeat(np.arange(len(n)), on.value_lengths().to_numpy()), on.flatten().to_numpy()] = True
-            use = alive[k, (d[k] - a) // width]
-            k, a = k[use], a[use]
-            s = s0[k] + a
+            raw = data.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(reps.field(3).to_numpy()[k]), pa.array(reps.field(4).to_numpy()[k]), pa.array(a.astype(np.int16)), pa.array(tk.span_hash(pre, s, s + length).view(np.int64))],
-                names=["seed", "ctx", "a", "w"],
+                [reps.field(3), reps.field(4), pa.array([raw[s : s + k] for s, k in zip(s0, d, strict=True)], pa.binary()), pa.array([raw[s + k : s + m - 1 + length] for s, k, m in zip(s0, d, n, strict=True)], pa.binary())],
+                names=["seed", "ctx", "left", "right"],
             )
 
-    fine = stash(spots(reps).mapInArrow(windows, "seed long, ctx long, a short, w long"), "windows")
-    some = twice(fine, "seed", "w").groupBy("seed", "ctx").agg(F.collect_set("a").alias("a"))
-    found = classes.join(some, ["seed", "ctx"], "left").where("c > 1 or a is not null").select("seed", "ctx", F.when(F.col("c") == 1, F.col("a")).alias("a"))
+    spelled = stash(named.select("rid", "text").join(each.hint("merge"), "rid").mapInArrow(spell, "seed long, ctx long, left binary, right binary"), "contexts")
+    crowded = hot.limit(1).count() > 0
+    calm = spelled.join(hot, "seed", "left").where("hot is null").drop("hot") if crowded else spelled
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_seeds(batches, BATCH):
+            raw = [[np.frombuffer(x.as_buffer(), np.uint8) for x in t.column(c).combine_chunks()] for c in ("left", "right")]
+            k, a = repeated(t.column("seed").to_numpy(), *raw, length)
+            yield pa.RecordBatch.from_arrays([t.column("seed").combine_chunks().take(pa.array(k)), t.column("ctx").combine_chunks().take(pa.array(k)), pa.array(a)], names=["seed", "ctx", "a"])
+
+    fine = calm.repartition("seed").sortWithinPartitions("seed").mapInArrow(order, "seed long, ctx long, a short")
+    if crowded:
+        fine = fine.union(by_bands(spelled.join(hot.hint("merge"), "seed", "left_semi"), length))
+    some = fine.groupBy("seed", "ctx").agg(F.collect_set("a").alias("a"))
+    # a window's place in its context: the trigger's less a
+    offsets = F.transform("a", lambda a: (F.col("at.d") - a).cast("short"))
+    found = classes.join(some.hint("merge"), ["seed", "ctx"], "left").where("c > 1 or a is not null").select("seed", "ctx", F.when(F.col("c") == 1, offsets).alias("a"))
     lose = active.join(found.hint("merge"), ["seed", "ctx"]).groupBy("rid").agg(F.collect_list(F.struct("s0", "n", "a")).alias("lose"))
     lose = stash(lose, "removals")
-    for done in (fine, reps, active, classes):
+    for done in (spelled, active, classes):
         discard(done)
     schema = T.StructType().add(key, docs.schema[key].dataType).add("n_bytes", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary")
 

@@ -1,6 +1,9 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
+
 from graphloom.llm import jaccard, linededup, substrings
 
 
@@ -114,14 +117,55 @@ def check_cut(df, length):
     assert Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == brute_cut(rows, length)
 
 
+@pytest.fixture(params=["arrays", "bands", "small batches"])
+def way(request, monkeypatch):
+    """Contexts ordered by suffix arrays, or by bands as where a seed has too many."""
+    if request.param == "bands":
+        monkeypatch.setattr(substrings, "HOT", 1)
+    if request.param == "small batches":
+        monkeypatch.setattr(substrings, "BATCH", 3)
+    return request.param
+
+
 def test_substrings_edge_cases(docs, none):
-    check_cut(docs.where("doc_id <> 9 or doc_id is null"), 200)
+    check_cut(docs, 200)
     assert substrings.remove_repeats(none).count() == 0
 
 
-def test_substrings_short_length_many_overlaps(spark):
+def test_substrings_short_length_many_overlaps(spark, way):
     import random
 
     r = random.Random(5)
-    rows = [(k, "".join(r.choice("ab") for _ in range(r.randint(0, 60)))) for k in range(40)] + [(99, "é" * 30), (98, "abc" * 20)]
+    rows = [(k, "".join(r.choice("ab") for _ in range(r.randint(0, 60)))) for k in range(40)] + [(99, "é" * 30), (98, "abc" * 20), (97, "a\0\0b" * 9), (97, "\0" * 25)]
     check_cut(spark.createDataFrame(rows, "doc_id long, text string"), 12)
+
+
+def test_substrings_around_a_shared_passage(spark, way):
+    """A passage between words of each text's own, so that contexts share only parts."""
+    import random
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    own = lambda n: " ".join(word() for _ in range(n))
+    passage = own(90)
+    rows = []
+    for k in range(30):
+        s = r.randint(0, 200)
+        rows.append((k, own(r.randint(0, 40)) + " " + passage[s : s + r.randint(150, 420)] + " " + own(r.randint(0, 40))))
+    check_cut(spark.createDataFrame(rows, "doc_id long, text string"), 200)
+
+
+def test_suffix_arrays_equal_plain_ones():
+    import random
+
+    r = random.Random(3)
+    for _ in range(60):
+        n, width = r.randint(1, 30), r.randint(1, 20)
+        parts = [bytes(r.choice(b"\0ab") for _ in range(r.randint(0, width))) for _ in range(n)]
+        seed = np.array([r.randint(0, 2) for _ in range(n)], np.int64)
+        order, lcp = substrings.suffix_array(seed, [np.frombuffer(p, np.uint8) for p in parts], width)
+        assert [(seed[i], parts[i]) for i in order] == sorted((seed[i], parts[i]) for i in range(n))
+        for k in range(n):
+            i, j = order[k], order[k - 1]
+            same = next((x for x in range(min(len(parts[i]), len(parts[j]))) if parts[i][x] != parts[j][x]), min(len(parts[i]), len(parts[j])))
+            assert lcp[k] == (-1 if k == 0 or seed[i] != seed[j] else same)
