@@ -44,6 +44,36 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
 discard = drop_table
 
 
+#: A key with more rows than this doesn't go through a shuffle if its rows can meet a broadcast one.
+HEAVY = 5_000
+#: Heavy keys that are broadcast, at most; more of them are left to the engine's skew joins.
+HEAVY_KEYS = 200_000
+
+
+def join_split(left: DataFrame, right: DataFrame, on: list[str], rows: str) -> DataFrame:
+    """``left`` joined with ``right``, a written table that has each key once and in ``rows``
+    how many rows of ``left`` the key has: rows of heavy keys stay where they are and meet a
+    broadcast side of checked size, the others are shuffled, so no task gathers a heavy key."""
+    heavy = right.where(F.col(rows) > HEAVY)
+    n = heavy.limit(HEAVY_KEYS + 1).count()
+    if not 0 < n <= HEAVY_KEYS:
+        return left.join(right.hint("merge"), on)
+    rest = left.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(right.where(F.col(rows) <= HEAVY).hint("merge"), on)
+    return left.join(F.broadcast(heavy), on).unionByName(rest)
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of a plan's result, as the optimiser estimates them; those of files are known."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` in fewer partitions, for tasks that each build a table of fixed size: some for
+    each core, and at least one for every two gigabytes, however few cores there are yet."""
+    cores = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    return df.coalesce(max(2 * cores, min(size_of(df) >> 31, 100_000)))
+
+
 def running_sum(df: DataFrame, order: list[Column], value: str, out: str, tag: str) -> DataFrame:
     """Stash ``df`` with ``out``: the sum of ``value`` over all rows before it in ``order``.
 

@@ -7,8 +7,8 @@ A line held by two documents is always in the merged twice-filter. Pass 2 shuffl
 only lines which that filter suspects (digest and document, no text), and an exact
 count confirms them. Pass 3 joins each document's confirmed lines to its text.
 
-The filter has one bit array of a fixed, documented size, so what is broadcast does
-not grow with the corpus: a fuller filter suspects more lines, and stays right.
+The filters' size follows the corpus between two documented bounds, so what is broadcast
+is bounded: a fuller filter suspects more lines, and stays right.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import prepare, stash
+from graphloom.llm.common import gathered, join_split, prepare, size_of, stash
 
 STRIP = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-LOG_BITS = 26  # 8 MB for each filter
+LEAST_BITS, MOST_BITS = 26, 29  # 8 to 64 MB for each filter
 PROBES = 2
 
 
@@ -64,13 +64,16 @@ def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def filter_bits(docs: DataFrame) -> int:
+    """Binary logarithm of a filter's bits: four for each line, of about 50 bytes in files."""
+    return min(MOST_BITS, max(LEAST_BITS, (size_of(docs.select("text")) * 4 // 50).bit_length()))
+
+
 def twice_filter(docs: DataFrame, least: int, log_bits: int) -> bytes:
     """The merged twice-filter of ``docs.text``.
 
-    Tasks build filters over coalesced partitions, so the number of filters follows
-    the cores and not the input; they merge by 64 KB segments in parallel.
+    Tasks build filters over many partitions each; they merge by 64 KB segments in parallel.
     """
-    spark = docs.sparkSession
     size, seg = 1 << (log_bits - 3), 1 << min(16, log_bits - 3)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,18 +103,18 @@ def twice_filter(docs: DataFrame, least: int, log_bits: int) -> bytes:
                 once |= o
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([twice.tobytes()])], names=["seg", "twice"])
 
-    cores = max(2, spark.sparkContext.defaultParallelism)
-    made = docs.select("text").coalesce(2 * cores).mapInArrow(build, "seg int, once binary, twice binary")
+    made = gathered(docs.select("text")).mapInArrow(build, "seg int, once binary, twice binary")
     out = np.zeros(size, np.uint8)
     for r in made.groupBy("seg").applyInArrow(merge, "seg int, twice binary").toLocalIterator():
         out[r[0] * seg : r[0] * seg + seg] = np.frombuffer(r[1], np.uint8)
     return out.tobytes()
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", least: int = 20, copies: int = 3, log_bits: int = LOG_BITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, key: str = "doc_id", least: int = 20, copies: int = 3, log_bits: int | None = None) -> DataFrame:
     """(key, lines): for each document, digests of the lines that it has to lose."""
     spark = docs.sparkSession
     prepare(spark)
+    log_bits = filter_bits(docs) if log_bits is None else log_bits
     bits = spark.sparkContext.broadcast(twice_filter(docs, least, log_bits))
     schema = T.StructType().add(key, docs.schema[key].dataType).add("line", "binary")
 
@@ -124,11 +127,11 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", least: int = 20, copies
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(lines, pa.binary())], names=schema.names)
 
     seen = stash(docs.select(key, "text").where(F.col(key).isNotNull()).mapInArrow(suspects, schema), "suspects")
-    counted = seen.groupBy("line").agg(F.count_distinct(key).alias("copies"), F.max(key).alias("keeper")).where(F.col("copies") >= copies)
-    return seen.join(counted, "line").where(F.col(key) < F.col("keeper")).groupBy(key).agg(F.collect_set("line").alias("lines"))
+    counted = seen.groupBy("line").agg(F.count_distinct(key).alias("copies"), F.max(key).alias("keeper"), F.count("*").alias("rows")).where(F.col("copies") >= copies)
+    return join_split(seen, stash(counted, "repeated"), ["line"], "rows").where(F.col(key) < F.col("keeper")).groupBy(key).agg(F.collect_set("line").alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", least: int = 20, copies: int = 3, log_bits: int = LOG_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", least: int = 20, copies: int = 3, log_bits: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with repeated lines gone from ``text``, plus
     ``_n_lines`` (before) and ``_n_dropped``.
 

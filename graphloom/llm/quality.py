@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import textkit as tk
-from graphloom.llm.common import prepare, stash
+from graphloom.llm.common import gathered, prepare, stash
 
 LOG_VOCAB, DIMS, REACH, NONZERO = 14, 64, 2, 2
 FEATURES = 2 * DIMS + 1
@@ -74,8 +74,7 @@ def gather(h: np.ndarray, off: np.ndarray, into: np.ndarray, counts: np.ndarray)
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """(2**LOG_VOCAB, DIMS) float32 unit vectors from all of ``docs.text``, scaled so that
     frequent rows weigh less. Partial tables follow the cores and merge by segments."""
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     vocab, seg = 1 << LOG_VOCAB, 1 << (LOG_VOCAB - 4)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +97,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 n += np.frombuffer(y.as_buffer(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([s.tobytes()]), pa.array([n.tobytes()])], names=["seg", "sums", "n"])
 
-    made = docs.select("text").coalesce(2 * max(2, spark.sparkContext.defaultParallelism)).mapInArrow(count, "seg int, sums binary, n binary")
+    made = gathered(docs.select("text")).mapInArrow(count, "seg int, sums binary, n binary")
     sums, n = np.zeros((vocab, DIMS)), np.zeros(vocab)
     for r in made.groupBy("seg").applyInArrow(merge, "seg int, sums binary, n binary").toLocalIterator():
         sums[r[0] * seg : (r[0] + 1) * seg] = np.frombuffer(r[1], np.int64).reshape(seg, DIMS)

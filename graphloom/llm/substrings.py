@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import textkit as tk
-from graphloom.llm.common import discard, groups, prepare, stash
+from graphloom.llm.common import discard, groups, join_split, prepare, stash
 
 LENGTH = 200
 #: Contexts that share a seed and are ordered in one task, at most (about 350 bytes each).
@@ -240,7 +240,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH) -
 
     occ = stash(named.select("rid", "text").mapInArrow(parse, "rid binary, s0 int, n int, d int, seed long, ctx long"), "parse")
     shared = occ.groupBy("seed").agg(F.count("*").alias("c"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("c > 1")
-    active = stash(occ.join(shared.select("seed", (F.col("lo") != F.col("hi")).alias("mixed")).hint("merge"), "seed"), "active")
+    shared = stash(shared.select("seed", (F.col("lo") != F.col("hi")).alias("mixed"), "c"), "shared")
+    active = stash(join_split(occ, shared, ["seed"], "c").drop("c"), "active")
     discard(occ)
     classes = stash(active.groupBy("seed", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("rid", "s0", "n", "d")).alias("at"), F.first("mixed").alias("mixed")), "dictionary")
 
@@ -275,10 +276,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH) -
     some = fine.groupBy("seed", "ctx").agg(F.collect_set("a").alias("a"))
     # a window's place in its context: the trigger's less a
     offsets = F.transform("a", lambda a: (F.col("at.d") - a).cast("short"))
-    found = classes.join(some.hint("merge"), ["seed", "ctx"], "left").where("c > 1 or a is not null").select("seed", "ctx", F.when(F.col("c") == 1, offsets).alias("a"))
-    lose = active.join(found.hint("merge"), ["seed", "ctx"]).groupBy("rid").agg(F.collect_list(F.struct("s0", "n", "a")).alias("lose"))
+    found = classes.join(some.hint("merge"), ["seed", "ctx"], "left").where("c > 1 or a is not null").select("seed", "ctx", "c", F.when(F.col("c") == 1, offsets).alias("a"))
+    found = stash(found, "found")
+    lose = join_split(active, found, ["seed", "ctx"], "c").groupBy("rid").agg(F.collect_list(F.struct("s0", "n", "a")).alias("lose"))
     lose = stash(lose, "removals")
-    for done in (spelled, active, classes):
+    for done in (spelled, active, classes, shared, found):
         discard(done)
     schema = T.StructType().add(key, docs.schema[key].dataType).add("n_bytes", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long"))).add("kept", "binary")
 

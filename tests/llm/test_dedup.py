@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from graphloom.llm import jaccard, linededup, substrings
+from graphloom.llm import common, jaccard, linededup, substrings
 
 
 def tokens(t):
@@ -80,7 +80,9 @@ def brute_lines(rows, least=20, copies=3):
     return Counter(out)
 
 
-def test_lines(docs, none):
+@pytest.mark.parametrize("heavy", [1, 5000])
+def test_lines(docs, none, monkeypatch, heavy):
+    monkeypatch.setattr(common, "HEAVY", heavy)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = linededup.dedup_lines(docs, log_bits=10)
     assert got.columns == [*docs.columns, "_n_lines", "_n_dropped"]
@@ -117,11 +119,13 @@ def check_cut(df, length):
     assert Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == brute_cut(rows, length)
 
 
-@pytest.fixture(params=["arrays", "bands", "small batches"])
+@pytest.fixture(params=["arrays", "bands", "small batches", "heavy keys"])
 def way(request, monkeypatch):
     """Contexts ordered by suffix arrays, or by bands as where a seed has too many."""
     if request.param == "bands":
         monkeypatch.setattr(substrings, "HOT", 1)
+    if request.param == "heavy keys":
+        monkeypatch.setattr(common, "HEAVY", 2)
     if request.param == "small batches":
         monkeypatch.setattr(substrings, "BATCH", 3)
     return request.param
