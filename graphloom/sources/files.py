@@ -92,17 +92,62 @@ def load_settings(path: str) -> Settings:
     return Settings(str(run.get("out_dir", "data")), tuple(run.get("include_ext", Settings.include_ext)), int(run.get("max_files", 0) or 0), {k: v for k, v in d.items() if k != "run"})
 
 
+def list_files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    """(path, size) of all files below a folder of any file system, in no order."""
+    plain = re.sub(r"^file:/+", "/", root)
+    if "://" not in plain:
+        return [(p, os.path.getsize(p)) for d, _, names in os.walk(os.path.abspath(plain)) for n in names if os.path.isfile(p := os.path.join(d, n))]
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    found, out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen()))
+    return out
+
+
+def read_bytes(path: str) -> bytes:
+    """A file's content, in a worker."""
+    if "://" not in path:
+        with open(path, "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(name) as f:
+        return f.read()
+
+
+def _passed_over(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, content) of files that Spark's sources never read: those with nothing in
+    them, and those whose name, or a folder's, begins with '_' or '.'; workers read them."""
+    base = re.sub(r"^file:/+", "/", root.rstrip("/"))
+    base = base if "://" in base else os.path.abspath(base)
+    hidden = re.compile(r"(^|/)[._]")
+    rows = [(p, n) for p, n in list_files(spark, root) if n == 0 or hidden.search(p[len(base) :].lstrip("/"))]
+    listed = spark.createDataFrame(rows, "path string, length long")
+
+    def read(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            content = [read_bytes(p) if n else b"" for p, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(content, pa.binary())], names=["path", "length", "content"])
+
+    return listed.mapInArrow(read, "path string, length long, content binary")
+
+
 def scan(spark: SparkSession, projects: list[Project], settings: Settings | None = None, most_bytes: int | None = None, content: bool = True) -> DataFrame:
     """(project, root, path, rel_path, ext, size[, text]) of all files of the projects.
 
-    Spark lists and reads the files in parallel. A file goes if a part of its path is an
+    Spark reads the files in parallel, workers those that its sources pass over. A file goes if a part of its path is an
     excluded name, if its lower-cased suffix isn't included, or if it is over ``most_bytes``.
     With ``max_files`` the first files of each project by path stay.
     """
     settings = settings or Settings()
     out = None
     for p in projects:
-        d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p.root)
+        d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p.root).select("path", "length", "content")
+        d = d.unionByName(_passed_over(spark, p.root))
         root = re.sub(r"^file:/+", "/", p.root.rstrip("/"))
         path = F.regexp_replace("path", "^file:/+", "/")
         rel = path.substr(F.lit(len(root if "://" in root else os.path.abspath(root)) + 2), F.lit(1 << 30))

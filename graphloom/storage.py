@@ -40,9 +40,54 @@ def write_table(df: DataFrame, tag: str, compression: str = "snappy") -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file of any file system; None if there is none."""
+    fs, p = _file_system(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str, append: bool = False) -> None:
+    """Write a small text file beside its place and move it there; to append, the old text
+    is written again before the new one."""
+    old = (read_text(spark, path) or "") if append else ""
+    fs, p = _file_system(spark, path)
+    _, t = _file_system(spark, f"{path}.{uuid.uuid4().hex}.part")
+    stream = fs.create(t, True)
+    try:
+        stream.write(bytearray((old + text).encode("utf-8")))
+    finally:
+        stream.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    if not fs.rename(t, p):
+        raise OSError(f"could not write {path}")
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names in a folder; none if it isn't there."""
+    fs, p = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
 
 
 def drop_table(df: DataFrame) -> None:
@@ -53,13 +98,7 @@ def drop_table(df: DataFrame) -> None:
 
 def still_there(df: DataFrame) -> bool:
     """Whether the files of a written table exist."""
-    spark = df.sparkSession
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for f in df.inputFiles()[:1]:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        if not p.getFileSystem(conf).exists(p):
-            return False
-    return True
+    return all(exists(df.sparkSession, f) for f in df.inputFiles()[:1])
 
 
 def clean(spark: SparkSession) -> None:

@@ -151,3 +151,18 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([("b", "2"), ("c", "1")], HASHES).coalesce(1).write.mode("append").parquet(src)
     load_stream(spark, src, st, ck).awaitTermination(60)
     assert {(r.identity, r.hash) for r in state(spark, st, 1).collect()} == {("a", "1"), ("b", "2"), ("c", "1")}
+
+
+def test_scan_keeps_empty_and_hidden_files(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "__init__.py").write_text("")
+    (tmp_path / "a b" / "x.py").write_text("x = 1")
+    (tmp_path / "a b" / "_y.py").write_text("y = 1")
+    (tmp_path / ".h" / "_i").mkdir(parents=True)
+    (tmp_path / ".h" / "_i" / "z.py").write_text("z")
+    (tmp_path / ".h" / "x").mkdir()
+    (tmp_path / ".h" / "x" / "z.py").write_text("z")
+    (tmp_path / "empty.txt").write_text("")
+    got = {(r.rel_path, r.size, r.text) for r in S.scan(spark, [S.Project("p", str(tmp_path), ("_i",))]).collect()}
+    assert got == {("a b/__init__.py", 0, ""), ("a b/x.py", 5, "x = 1"), ("a b/_y.py", 5, "y = 1"), (".h/x/z.py", 1, "z")}
+    assert S.scan(spark, []).count() == 0
