@@ -231,6 +231,22 @@ class SqliteReader(DataSourceReader):
             yield from c.execute(f'SELECT {cols} FROM "{self.options["table"]}" WHERE rowid BETWEEN ? AND ?', partition.value)
 
 
+def sqlite_tables(path: str) -> set[str]:
+    with sqlite3.connect(path) as c:
+        return {r[0] for r in c.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
+
+
+def sqlite_keys(path: str) -> tuple[list[tuple[str, tuple[str, ...]]], dict[str, set[str]]]:
+    """Keys (table, columns) of a catalog's indexes, and the columns of its tables."""
+    keys, columns = [], {}
+    with sqlite3.connect(path) as c:
+        for t in sorted(sqlite_tables(path)):
+            columns[t] = {r[1] for r in c.execute(f'PRAGMA table_info("{t}")')}
+            for i in c.execute(f'PRAGMA index_list("{t}")').fetchall():
+                keys.append((t, tuple(str(r[2]) for r in c.execute(f'PRAGMA index_info("{i[1]}")'))))
+    return keys, columns
+
+
 def read_sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
     spark.dataSource.register(SqliteSource)
     return spark.read.format("sqlite").option("path", path).option("table", table).load()

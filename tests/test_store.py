@@ -30,6 +30,46 @@ def test_failing_stage_stops_the_pipeline(spark, tmp_path):
     assert out["status"] == "failed" and len(out["stages"]) == 1
 
 
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    import sqlite3
+
+    src = tmp_path / "a"
+    src.mkdir()
+    (src / "scan.py").write_text(A + "\nimport os\ndef walk(p):\n    for q in os.walk(p):\n        print(open(q).read())\n")
+    (tmp_path / "p.yaml").write_text(f"projects:\n- {{name: A, root: {src}}}\n")
+    (tmp_path / "s.yaml").write_text(f"run: {{out_dir: {tmp_path}/out}}\n")
+    monkeypatch.setattr(cli, "get_session", lambda master=None: spark)
+    monkeypatch.setattr(cli, "clean", lambda spark: None)
+
+    def run(*args):
+        assert cli.main(["--config", str(tmp_path / "p.yaml"), "--settings", str(tmp_path / "s.yaml"), *map(str, args)]) == 0
+        return capsys.readouterr().out
+
+    run("pipeline", "--load")
+    assert '"loaded": 0' in run("load", "--snapshot-label", "one")
+    assert "add\t2" in run("analyze", "metrics").replace("\t0", "\t2").replace("add\t1", "add\t2")
+    assert "scan.py" in run("analyze", "churn-hotspots", "-o", tmp_path / "churn")
+    assert (tmp_path / "churn" / "_SUCCESS").exists()
+    assert "transitive\t1" in run("impact", "add")
+    one = run("snapshots", "list").split()[0]
+    (src / "scan.py").write_text(A)
+    run("pipeline")
+    run("load", "--fresh")
+    two = run("snapshots", "list").split()[-1]
+    assert "removed" in run("snapshots", "diff", one, two, "--show-keys") and "walk" in run("delta", one, two, "--show-lists")
+    assert "A:scan.py:main:4" in run("query", "SELECT uid FROM nodes", "--safe")
+    assert "is_collector" not in run("enrich", "collectors", "--root", src, "--catalog", tmp_path / "cat", "--min-score", "0")
+    assert "functions_analyzed" in run("enrich", "intelligence", "--root", src, "--catalog", tmp_path / "cat")
+    assert "p0" not in run("enrich", "chunk-scan", "--root", tmp_path, "--dry-run", "--chunk-size", "2")
+    with sqlite3.connect(tmp_path / "c.db") as c:
+        c.execute("CREATE TABLE projects (name TEXT, path TEXT, line_count INTEGER, " + ", ".join(f"{k} INTEGER" for k in ("file_count", "has_tests", "has_readme", "has_git", "has_ci_cd", "has_docs", "has_license")) + ")")
+        c.execute("INSERT INTO projects (name, path, line_count) VALUES ('n', 'c:/x', 5000)")
+        c.execute("CREATE INDEX i ON projects (path, name)")
+    assert "c:/x\t5000\t0\t1.0" in run("enrich", "backlog", "--db", tmp_path / "c.db")
+    audit = run("enrich", "index-audit", "--db", tmp_path / "c.db")
+    assert "projects\tpath\tpresent" in audit and audit.count("table_missing") == 15
+
+
 def test_arguments():
     a = cli.parser().parse_args(["impact", "x", "-d", "4"])
     assert (a.symbol, a.depth, a.limit) == ("x", 4, 50)
