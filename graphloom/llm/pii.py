@@ -13,14 +13,16 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import prepare
+from graphloom.llm.common import lean, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 MOST = 24
@@ -337,8 +339,11 @@ _HOST = re.compile(r" ?[\w-]{1,64}+ ?(?:\.(?=[\w])|\(dot\)|\[dot\]| dot )")
 def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     """Spans that the field finds with a posterior of at least ``SURE`` beside the base's."""
     out = []
+    starts = [s for s, _, _ in base]  # ascending
+    reach = list(accumulate((e for _, e, _ in base), max))  # of all base spans up to each
+    last = lambda at: reach[at - 1] if at else -1
     for lo, hi in windows(text):
-        if any(s <= lo and hi <= e for s, e, _ in base):
+        if last(bisect_right(starts, lo)) >= hi:  # inside of a base span
             continue
         tok, cand = candidates(text, lo, hi)
         if not cand:
@@ -351,7 +356,7 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
         p, _ = field.posterior(lattice, scores)
         for c, k in chosen:
             s, e = cand[c][2:]
-            if p[c][k] >= SURE and not any(s < y and x < e for x, y, _ in base):
+            if p[c][k] >= SURE and last(bisect_left(starts, e)) <= s:  # overlaps no base span
                 out.append((s, e, KINDS[k]))
     return out
 
@@ -381,4 +386,4 @@ def find_pii(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                 spans.append([{"kind": k, "start": s, "end": e} for s, e, k in more])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, kind), pa.array(spans, kind)], names=schema.names)
 
-    return docs.select(key, "text").mapInArrow(run, schema)
+    return docs.select(key, "text").mapInArrow(lean(run), schema)

@@ -39,6 +39,13 @@ DICTIONARY = (
     "street north south east west spring summer autumn winter january february march april june july august september october november december "
     "example sample demo mail http https html json main home about contact product service system network"
 ).split()
+#: Words of harmless findings that the forest learns from: other words than the dictionary's, so
+#: that coverage is no sign of the class by construction.
+OTHER_WORDS = (
+    "bridge garden copper marble velvet lantern harbor meadow pepper saddle ribbon timber walnut pocket mirror candle basket hammer needle blanket "
+    "engine market signal planet window kitchen library station theatre museum factory orchestra painter teacher doctor lawyer farmer sailor pilot "
+    "parse render fetch merge branch commit layout widget cursor buffer socket thread kernel packet column filter schema cluster journal archive"
+).split()
 CONTEXT = 60
 
 
@@ -88,6 +95,11 @@ def features() -> dict[str, Column]:
     }
 
 
+def word_of(r: random.Random) -> str:
+    """A word of a harmless finding: mostly one that the dictionary lacks."""
+    return r.choice(OTHER_WORDS if r.random() < 0.6 else DICTIONARY)
+
+
 def labelled_findings(n: int = 1500, seed: int = 11) -> list[tuple[str, str, str, int]]:
     """(before, candidate, after, is_secret), by rule from a fixed seed."""
     r = random.Random(seed)
@@ -126,7 +138,7 @@ def labelled_findings(n: int = 1500, seed: int = 11) -> list[tuple[str, str, str
             elif kind == 1:
                 c = "-".join([pick(hexa, 8), pick(hexa, 4), pick(hexa, 4), pick(hexa, 4), pick(hexa, 12)])
             elif kind == 2:
-                c = "/".join([r.choice(DICTIONARY) for _ in range(3)] + [f"{r.choice(DICTIONARY)}{r.randint(1, 99)}." + r.choice(["html", "png", "js"])])
+                c = "/".join([word_of(r) for _ in range(3)] + [f"{word_of(r)}{r.randint(1, 99)}." + r.choice(["html", "png", "js"])])
             elif kind == 3:
                 c = pick("0123456789", r.randint(12, 19))
             elif kind == 4:
@@ -137,7 +149,7 @@ def labelled_findings(n: int = 1500, seed: int = 11) -> list[tuple[str, str, str
             elif kind == 6:
                 c = f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}T{r.randint(0, 23):02}"
             elif kind == 7:
-                c = r.choice(DICTIONARY) + "_" + r.choice(DICTIONARY) + "_" + r.choice(DICTIONARY) + str(r.randint(1, 99))
+                c = word_of(r) + "_" + word_of(r) + "_" + word_of(r) + str(r.randint(1, 99))
             elif kind == 8:
                 c = word() + word() + word() + word() + str(r.randint(1, 9))
                 c += "x" * max(0, 12 - len(c))
@@ -193,8 +205,8 @@ def labelled_values(n: int, seed: int) -> list[tuple[str, str, str, int]]:
             elif kind == 3:
                 c, quote = r.choice(["os.environ[key]", "input()", "getpass()", "get_secret(name)", "self.password", "env.TOKEN", "request.form"]), ""
             elif kind == 4:
-                c, quote = r.choice(["the", "a", "see", "it", "must", "at", "not", "use", "never", "eight", "forgotten", "minimum", "list", r.choice(DICTIONARY)]), ""
-                out.append((before + name + r.choice([": ", ": ", " = "]), c, " " + " ".join(r.choice(DICTIONARY) for _ in range(4)), 0))
+                c, quote = r.choice(["the", "a", "see", "it", "must", "at", "not", "use", "never", "eight", "forgotten", "minimum", "list", word_of(r)]), ""
+                out.append((before + name + r.choice([": ", ": ", " = "]), c, " " + " ".join(word_of(r) for _ in range(4)), 0))
                 continue
             else:
                 c = r.choice(["Password", "Enter your password", "Token", "must not be empty", "Forgot your password?", "Please sign in"])
