@@ -175,8 +175,7 @@ def main(argv: list[str] | None = None) -> int:
             s.read(name).createOrReplaceTempView(name)
         show(guard.run(s.spark, open(a.text, encoding="utf-8").read() if a.text.endswith(".sql") else a.text, a.safe))
     elif a.command == "search":
-        n = s.search_nodes()
-        show(S.find(n, S.indexed(n), a.text, a.index, a.project, a.limit))
+        show(S.find(s.search_nodes(), s.search_index(), a.text, a.index, a.project, a.limit))
     elif a.command == "ask":
         show(G.ask(s.functions(), a.text, a.project))
     elif a.command == "compare":

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import CALL_KEYWORDS
+from graphloom.functions.text import CALL, CALL_KEYWORDS, CALL_LIMIT, JS_FUNCTION, JS_IMPORT, JS_REQUIRE, SIGNAL_CALL_KEYWORDS
 from graphloom.schema import PARSED, STRINGS, record
 
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -65,7 +65,7 @@ def parse_python(text: str) -> dict:
     return out
 
 
-_JS = [re.compile(p) for p in (r"^\s*(?:export\s+)?function\s+([A-Za-z_]\w*)\s*\(", r"^\s*import\s+.*?from\s+['\"]([^'\"]+)['\"]", r"require\(\s*['\"]([^'\"]+)['\"]\s*\)", r"\b([A-Za-z_]\w*)\s*\(")]
+_JS = [re.compile(p) for p in (JS_FUNCTION, JS_IMPORT, JS_REQUIRE, CALL)]
 
 
 def parse_js(text: str, language: str = "javascript") -> dict:
@@ -155,7 +155,6 @@ def match_brace(text: str, at: int) -> int:
 FUNCTION_INFO = record(("rel_path", "string"), ("name", "string"), ("start_line", "int"), ("end_line", "int"), ("language", "string"), ("complexity", "int"), ("calls", STRINGS), ("tokens", STRINGS), ("body_hash", "string"))
 
 _BLOCK = re.compile(r"\bfunction\s+([A-Za-z_]\w*)\s*\([^)]*\)\s*\{|\b(?:const|let|var)\s+([A-Za-z_]\w*)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>\s*\{")
-_SKIP = {"if", "for", "while", "switch", "return", "catch", "function", "typeof", "console"}
 
 
 def functions_of(rel_path: str, ext: str, text: str) -> Iterator[dict]:
@@ -176,7 +175,7 @@ def functions_of(rel_path: str, ext: str, text: str) -> Iterator[dict]:
     found = [(m.start(), match_brace(text, m.end() - 1), m[1] or m[2]) for m in _BLOCK.finditer(text)] or [(0, len(text), "file_scope")]
     for s, e, name in found:
         body = text[s:e]
-        names = [c for c in _JS[3].findall(body) if c not in _SKIP][:200]
+        names = [c for c in _JS[3].findall(body) if c not in SIGNAL_CALL_KEYWORDS][:CALL_LIMIT]
         score = 1 + len(re.findall(r"\bif\b|\bfor\b|\bwhile\b|\bcase\b|\bcatch\b", body)) + body.count("&&") + body.count("||") + len(re.findall(r"(?<!\?)\?(?!\.)", body))
         plain = re.sub(r"(?m)//.*?$|/\*[\s\S]*?\*/", "", body)
         plain = re.sub(r"`[\s\S]*?`|\"(?:\\.|[^\"])*\"|'(?:\\.|[^'])*'", "STR", plain)
@@ -184,6 +183,49 @@ def functions_of(rel_path: str, ext: str, text: str) -> Iterator[dict]:
         yield {"rel_path": rel_path, "name": name, "start_line": text.count("\n", 0, s) + 1, "end_line": text.count("\n", 0, e) + 1, "language": "typescript" if ext.startswith(".ts") else "javascript", "complexity": score, "calls": names, "tokens": sorted({t.lower() for t in re.findall(r"[A-Za-z_]\w*", body)}), "body_hash": sha(plain)}
 
 
+def signal_imports(ext: str, text: str) -> list[str]:
+    """Imports of a file with repeats; relative ones of Python keep their dots."""
+    if ext != ".py":
+        return parse_any(ext, text)["imports"]
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    out = []
+    for n in ast.walk(tree):
+        if isinstance(n, ast.Import):
+            out += [a.name for a in n.names]
+        elif isinstance(n, ast.ImportFrom) and (name := "." * n.level + (n.module or "")):
+            out.append(name)
+    return out
+
+
+def import_rows(files: DataFrame) -> DataFrame:
+    """(file_path, import_name) with repeats of (path, ext, text) files."""
+
+    @F.pandas_udf("array<string>")
+    def found(ext: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([signal_imports(e or "", t or "") for e, t in zip(ext, text, strict=True)])
+
+    return files.select(F.col("path").alias("file_path"), F.explode(found("ext", "text")).alias("import_name"))
+
+
+@F.udtf(returnType="name: string, line: int, calls: array<string>")
+class SourceFunctions:
+    """``SELECT * FROM source_functions(ext, text)``: functions of a source text."""
+
+    def eval(self, ext: str, text: str):
+        p = parse_any(ext or "", text or "")
+        own = {(f["name"], f["line"]): f["calls"] for f in p["function_calls"]}
+        for f in p["functions"]:
+            yield f["name"], f["line"], own.get((f["name"], f["line"]), [])
+
+
+def register(spark) -> None:
+    """Make the parsers callable from SQL."""
+    spark.udtf.register("source_functions", SourceFunctions)
+
+
 def function_info(files: DataFrame) -> DataFrame:
     """Rows of ``FUNCTION_INFO`` for (rel_path, ext, text) files."""
 

@@ -53,6 +53,14 @@ def latest_artifact(enrichment: DataFrame, by: str, artifact: str, updated: str)
     return enrichment.where(F.col(artifact).isNotNull()).groupBy(F.lower(by).alias("path")).agg(F.max_by(artifact, F.struct(updated, artifact)).alias("artifact"))
 
 
+def scan_artifact(enrichment: DataFrame | None, path: str, explicit: str = "") -> str | None:
+    """The scan artifact of a project: the given one, else its latest in the catalog."""
+    if explicit or enrichment is None:
+        return explicit or None
+    row = latest_artifact(enrichment, "source_path", "scan_artifact", "updated_at").where(F.col("path") == path.lower()).first()
+    return row.artifact if row else None
+
+
 def merge_chunks(chunks: DataFrame) -> DataFrame:
     """Rows (chunk, pos, path, ...) of chunked scans: the first of each path."""
     return first_wins(chunks, ["path"], [F.col("chunk"), F.col("pos")])

@@ -10,7 +10,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.pyparse import function_info, parse_files
+from graphloom.functions.pyparse import function_info, import_rows, parse_files
 from graphloom.operators import catalog as C
 from graphloom.operators import extract as E
 from graphloom.operators import graph as G
@@ -80,9 +80,7 @@ def intelligence(files: DataFrame, file_similarity: float = 0.65, function_simil
     files = files.where(~Y.excluded(F.col("path")))
     info = write_table(function_info(files), "functions")
     info = info.withColumn("uid", F.concat_ws(":", "rel_path", "name", F.col("start_line").cast("string")))
-    parsed = parse_files(files.withColumn("project", F.lit("")))
-    imports = parsed.select(F.col("path").alias("file_path"), F.explode("imports").alias("import_name"))
-    dependencies = N.dependency_rows(imports, N.top_modules(files))
+    dependencies = N.dependency_rows(import_rows(files), N.top_modules(files))
     sites = info.select(F.col("uid").alias("src"), F.explode("calls").alias("callee"))
     calls = N.call_rows(sites, info.select("uid", "name", F.col("rel_path").alias("file_uid")))
     complexity = N.complexity_rows(info)

@@ -14,6 +14,7 @@ from graphloom.functions.pyparse import parse_files
 from graphloom.operators.extract import events as make_events
 from graphloom.operators.extract import identity, parent_dir
 from graphloom.operators.incremental import changed_rows, create_edges, detach_delete, diff, first_wins, hashed, load_counters, merge, merge_edges, stale
+from graphloom.operators.search import indexed
 from graphloom.schema import HASHES
 from graphloom.sources.files import Project, Settings, scan
 from graphloom.storage import list_names, read_text, write_text
@@ -102,6 +103,7 @@ class Store:
             lost = self._edge_identities(own).join(gone.where(ends != "").select("identity"), "identity", "left_anti").drop("identity")
             self.write("nodes", merge(kept, nodes, ["label", "uid"]))
             self.write("edges", merge_edges(lost.select("type", "src", "dst").union(edges), self.read("nodes").select("uid")))
+        self.write("search", indexed(self.search_nodes()))
         self.write("state", new)
         return counts
 
@@ -135,6 +137,10 @@ class Store:
         n = self.read("nodes")
         return n.select("uid", "label", F.coalesce("project", F.lit("")).alias("project"), "name", F.coalesce("rel_path", "path", F.element_at(F.split("file_uid", ":"), 2), F.lit("")).alias("path"))
 
+    def search_index(self) -> DataFrame | None:
+        """The index that the last load wrote, if there is one."""
+        return self.read("search") if self._latest("search") else None
+
     # --- snapshots ---
 
     def snapshot(self, label: str = "") -> str:

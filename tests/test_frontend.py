@@ -166,3 +166,13 @@ def test_scan_keeps_empty_and_hidden_files(spark, tmp_path):
     got = {(r.rel_path, r.size, r.text) for r in S.scan(spark, [S.Project("p", str(tmp_path), ("_i",))]).collect()}
     assert got == {("a b/__init__.py", 0, ""), ("a b/x.py", 5, "x = 1"), ("a b/_y.py", 5, "y = 1"), (".h/x/z.py", 1, "z")}
     assert S.scan(spark, []).count() == 0
+
+
+def test_parsers_from_sql(spark):
+    from graphloom.functions.pyparse import import_rows, register
+
+    register(spark)
+    got = spark.sql("SELECT * FROM source_functions('.py', 'def f(x):\n  return g(x)\n')").collect()
+    assert [(r.name, r.line, r.calls) for r in got] == [("f", 1, ["g"])]
+    df = spark.createDataFrame([("a.py", ".py", "import os, re\nfrom ..x import y\nfrom . import z\nimport os"), ("b.js", ".js", "const q = require('k')"), ("c.py", ".py", None)], "path string, ext string, text string")
+    assert sorted((r.file_path, r.import_name) for r in import_rows(df).collect()) == [("a.py", "."), ("a.py", "..x"), ("a.py", "os"), ("a.py", "os"), ("a.py", "re"), ("b.js", "k")]
