@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import prepare
+from graphloom.llm.common import lean, prepare
 
 #: Strings that have a meaning in formatted output; inside texts they are escaped.
 CONTROLS = ("<|im_start|>", "<|im_sep|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -369,7 +369,7 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
         if rows:
             yield _formatted(rows)
 
-    return ready.mapInArrow(run, FORMATTED)
+    return ready.mapInArrow(lean(run), FORMATTED)
 
 
 def _formatted(rows: list[tuple]) -> pa.RecordBatch:
@@ -427,7 +427,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if started:
             yield _digests([close()])
 
-    return formatted.mapInArrow(run, DIGESTS)
+    return formatted.mapInArrow(lean(run), DIGESTS)
 
 
 def _digests(rows: list) -> pa.RecordBatch:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -44,6 +45,25 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
 discard = drop_table
 
 
+def release() -> None:
+    """Give memory that was freed back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def lean(work: Callable) -> Callable:
+    """``work`` over batches, and then ``release``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release()
+
+    return run
+
+
 #: A key with more rows than this doesn't go through a shuffle if its rows can meet a broadcast one.
 HEAVY = 5_000
 #: Heavy keys that are broadcast, at most; more of them are left to the engine's skew joins.
@@ -97,7 +117,7 @@ def running_sum(df: DataFrame, order: list[Column], value: str, out: str, tag: s
             )
             total += int(c[-1]) if len(c) else 0
 
-    got = stash(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(local, schema), tag)
+    got = stash(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(local), schema), tag)
     totals = sorted((r[0], r[1]) for r in got.groupBy("_part").agg(F.sum(value)).collect())
     shift, total = [], 0
     for p, t in totals:

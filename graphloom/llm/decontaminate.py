@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import textkit as tk
-from graphloom.llm.common import prepare, stash
+from graphloom.llm.common import lean, prepare, stash
 
 LEAST = 5
 #: The bit table of seeds has 2**LOG_BITS bits (2 MB); a fuller one only lets more through.
@@ -169,7 +169,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, item_key: str = "item_i
 
     listed = stash(benchmark.select(F.monotonically_increasing_id().alias("idx"), F.col(item_key).alias("k"), "text"), "benchmark")
     schema = T.StructType().add("idx", "long").add("k", kind).add("n", T.IntegerType()).add("seeds", T.ArrayType(T.LongType())).add("words", "binary")
-    items = stash(listed.mapInArrow(read, schema), "items")
+    items = stash(listed.mapInArrow(lean(read), schema), "items")
     seeds = items.select("idx", F.explode(F.array_distinct("seeds")).alias("seed"))
     lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # from 1 to least
     bits = spark.sparkContext.broadcast(seed_bits(seeds))
@@ -190,7 +190,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, item_key: str = "item_i
     # a text is named by 128 bits, so that equal ones are tiled once
     name = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
     some = docs.where("text is not null").select(*name, "text")
-    hits = stash(some.mapInArrow(sift, "h1 long, h2 long, seed long").distinct(), "seeds")
+    hits = stash(some.mapInArrow(lean(sift), "h1 long, h2 long, seed long").distinct(), "seeds")
     pairs = stash(hits.join(seeds, "seed").select("h1", "h2", "idx").distinct(), "pairs")
 
     null = lambda t: F.lit(None).cast(t)
@@ -214,7 +214,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, item_key: str = "item_i
                 share.append(tile(item, doc, least) / len(item))
             yield pa.RecordBatch.from_arrays([*(pa.array([x.as_py() for x in c], pa.int64()) for c in (h1, h2, idx)), pa.array(share, pa.float64())], names=["h1", "h2", "idx", "share"])
 
-    tiled = stash(work.mapInArrow(cover, "h1 long, h2 long, idx long, share double"), "tiles")
+    tiled = stash(work.mapInArrow(lean(cover), "h1 long, h2 long, idx long, share double"), "tiles")
     best = F.min(F.struct((-F.col("share")).alias("s"), F.col("k").isNull().alias("z"), "k")).alias("best")
     found = tiled.join(items.select("idx", "k"), "idx").groupBy("h1", "h2").agg(best, F.count_if(F.col("share") >= threshold).alias("n"))
     found = stash(found.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), (-F.col("best.s")).alias("_c"), F.col("best.k").alias("_k"), "n"), "covered").withColumnRenamed("n", "_n")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import textkit as tk
-from graphloom.llm.common import components, discard, groups, prepare, stash
+from graphloom.llm.common import components, discard, groups, lean, prepare, stash
 
 RUNS = 12  # 16 at most
 DEPTH = 4  # levels of picks
@@ -211,7 +211,7 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
                 )
                 at += len(us)
 
-    rows = stash(docs.select(key, "text").mapInArrow(choose, schema), "picks")
+    rows = stash(docs.select(key, "text").mapInArrow(lean(choose), schema), "picks")
     classes = rows.where("sid is not null").groupBy("sid").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("picks").alias("picks"), F.first("sketch").alias("sketch"))
     classes = stash(classes, "classes")
 
@@ -269,9 +269,9 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
             got = sorted(centers.collect(), key=lambda r: r[0])
             sketches = [np.frombuffer(b"".join(r[i] for r in got), np.uint8).reshape(-1, BINS) for i in (2, 3)]
             held_centers = spark.sparkContext.broadcast((np.array([r[0] for r in got], np.int64), [bytes(r[1]) for r in got], *sketches))
-            seen = drawn.select("sid", "k", "sketch").mapInArrow(against(held_centers), kind)
+            seen = drawn.select("sid", "k", "sketch").mapInArrow(lean(against(held_centers)), kind)
         else:
-            seen = drawn.join(centers, "k").select("sid", "k", "center", "sketch", "s1", "s2").mapInArrow(compared, kind)
+            seen = drawn.join(centers, "k").select("sid", "k", "center", "sketch", "s1", "s2").mapInArrow(lean(compared), kind)
         seen = stash(seen, "compared")
         dense = seen.groupBy("k").agg(F.greatest(F.avg("one"), F.avg("two")).alias("mean"))
         dense = stash(dense.where(F.col("mean") >= (threshold / RATES[level + 1] if level < DEPTH - 1 else -1.0)).select("k"), "dense")
@@ -283,7 +283,7 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
         if deep is None:  # of sets that are split at all; the parts hold no others
             some = stash(classes.select("sid", "rep").join(rest.select("sid").distinct(), "sid", "left_semi"), "split")
             kinds = "sid binary, " + ", ".join(f"p{k} array<long>" for k in range(1, DEPTH))
-            deep = stash(texts_of(some).mapInArrow(deeper, kinds).dropDuplicates(["sid"]), "deeper")
+            deep = stash(texts_of(some).mapInArrow(lean(deeper), kinds).dropDuplicates(["sid"]), "deeper")
         run = F.lit(15).cast("long")
         each = rest.groupBy("sid", "size").agg(F.collect_list("k").alias("ks")).join(deep.select("sid", F.col(f"p{level + 1}").alias("p")).hint("merge"), "sid")
         child = F.flatten(F.transform("ks", lambda k: F.transform(F.filter("p", lambda p: p.bitwiseAND(run) == k.bitwiseAND(run)), lambda p: F.xxhash64(k, p).bitwiseAND(F.lit(-16).cast("long")).bitwiseOR(k.bitwiseAND(run)))))
@@ -302,7 +302,7 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
     for more in leaves[1:]:
         met = met.union(more)
     sketched = met.join(classes.select("sid", "sketch").hint("merge"), "sid")
-    leaves = stash(sketched.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(sift, "sid binary, k long"), "leaves")
+    leaves = stash(sketched.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(lean(sift), "sid binary, k long"), "leaves")
 
     star = spark.createDataFrame([], "a binary, b binary")
     for more in stars:
@@ -320,7 +320,7 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
                 us = [u for u in us if len(u)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(u) for u in us], pa.binary()), pa.array([u.tobytes() for u in us], pa.binary())], names=["sid", "tokens"])
 
-    tokens = texts_of(info).mapInArrow(whole, "sid binary, tokens binary")
+    tokens = texts_of(info).mapInArrow(lean(whole), "sid binary, tokens binary")
     full = stash(info.join(tokens.dropDuplicates(["sid"]).hint("merge"), "sid"), "sets")
 
     block = F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int")
@@ -336,7 +336,7 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
                 sid = t.column("sid").combine_chunks()
                 yield pa.RecordBatch.from_arrays([sid.take(pa.array(at, pa.int64())), sid.take(pa.array(root, pa.int64())), pa.array(links, pa.int64())], names=["a", "b", "links"])
 
-    found = stash(work.repartition(parts, "unit").sortWithinPartitions("unit", "side").mapInArrow(verify, "a binary, b binary, links long"), "links")
+    found = stash(work.repartition(parts, "unit").sortWithinPartitions("unit", "side").mapInArrow(lean(verify), "a binary, b binary, links long"), "links")
     linked = found.groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
     graph = components(found.select("a", "b"), "classes")
     named = classes.join(graph.withColumnRenamed("node", "sid"), "sid", "left").join(linked, "sid", "left")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import gathered, join_split, prepare, size_of, stash
+from graphloom.llm.common import gathered, join_split, lean, prepare, size_of, stash
 
 STRIP = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -103,7 +103,7 @@ def twice_filter(docs: DataFrame, least: int, log_bits: int) -> bytes:
                 once |= o
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([twice.tobytes()])], names=["seg", "twice"])
 
-    made = gathered(docs.select("text")).mapInArrow(build, "seg int, once binary, twice binary")
+    made = gathered(docs.select("text")).mapInArrow(lean(build), "seg int, once binary, twice binary")
     out = np.zeros(size, np.uint8)
     for r in made.groupBy("seg").applyInArrow(merge, "seg int, twice binary").toLocalIterator():
         out[r[0] * seg : r[0] * seg + seg] = np.frombuffer(r[1], np.uint8)
@@ -126,7 +126,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", least: int = 20, copies
             rows, lines = [found[k][0] for k in np.flatnonzero(hit)], [found[k][1] for k in np.flatnonzero(hit)]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(lines, pa.binary())], names=schema.names)
 
-    seen = stash(docs.select(key, "text").where(F.col(key).isNotNull()).mapInArrow(suspects, schema), "suspects")
+    seen = stash(docs.select(key, "text").where(F.col(key).isNotNull()).mapInArrow(lean(suspects), schema), "suspects")
     counted = seen.groupBy("line").agg(F.count_distinct(key).alias("copies"), F.max(key).alias("keeper"), F.count("*").alias("rows")).where(F.col("copies") >= copies)
     return join_split(seen, stash(counted, "repeated"), ["line"], "rows").where(F.col(key) < F.col("keeper")).groupBy(key).agg(F.collect_set("line").alias("lines"))
 
@@ -165,4 +165,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", least: int = 20, copies: i
             cols = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(b.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(lost, pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(drop, schema)
+    return joined.mapInArrow(lean(drop), schema)

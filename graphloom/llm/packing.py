@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import bpe
-from graphloom.llm.common import prepare, running_sum, stash
+from graphloom.llm.common import lean, prepare, running_sum, stash
 from graphloom.llm.textkit import utf8
 
 END = 1
@@ -55,7 +55,7 @@ def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", source: str =
             ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * to).astype(np.int32)), pa.py_buffer(out)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n + 1), ids], names=schema.names)
 
-    return stash(src.mapInArrow(run, schema), "tokens")
+    return stash(src.mapInArrow(lean(run), schema), "tokens")
 
 
 #: Sources whose quanta are broadcast, at most (about 100 bytes each); more are joined by a shuffle.
@@ -115,7 +115,7 @@ def served_pieces(tokens: DataFrame, key: str = "doc_id", window: int = 2048, we
             k, r, s, e = k[ok], r[ok], s[ok], e[ok]
             yield pa.RecordBatch.from_arrays([pa.array(row[k]), pa.array(s - x[k]), pa.array(e - s), pa.array(r), pa.array(first[k] + s)], names=["row", "begin", "n", "round", "g"])
 
-    pieces = named.mapInArrow(split, "row long, begin long, n long, round long, g long")
+    pieces = named.mapInArrow(lean(split), "row long, begin long, n long, round long, g long")
     # g, the place in all queues end to end, orders a round by source and by place in the queue
     return running_sum(pieces, [F.col("round"), F.col("g")], "n", "at", "served").select("row", "begin", "n", "round", "at")
 
@@ -162,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", source: str = "so
                 cols.append(pa.array([ids[i // 4 : i // 4 + m].astype(np.int32) for i, m in zip(lo.tolist(), length.tolist(), strict=True)], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return tokens.join(order.hint("merge"), "row").select(key, "pieces", "ids").mapInArrow(cut, schema)
+    return tokens.join(order.hint("merge"), "row").select(key, "pieces", "ids").mapInArrow(lean(cut), schema)
 
 
 def in_order(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, groups, prepare, stash
+from graphloom.llm.common import components, groups, lean, prepare, stash
 from graphloom.llm.jaccard import roots
 
 NEAREST, SHARED = 8, 3
@@ -122,7 +122,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
                     [own.column(0), pa.array(top.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array([r.tobytes() for r in x], pa.binary()), own.column(2), pa.array(need)], names=["id", "pivots", "v", "copies", "need"]
                 )
 
-    index = stash(classes.select("id", "v", "copies").mapInArrow(describe, "id long, pivots array<int>, v binary, copies long, need int"), "index")
+    index = stash(classes.select("id", "v", "copies").mapInArrow(lean(describe), "id long, pivots array<int>, v binary, copies long, need int"), "index")
     subsets = [
         F.when((F.col("need") == k) & (F.size("pivots") > s[-1]), F.struct(F.xxhash64(F.length("v"), *(F.get("pivots", F.lit(i)) for i in s)).alias("unit"), F.get("pivots", F.lit(s[-1])).alias("last")))
         for k in range(1, shared + 1) for s in combinations(range(nearest), k)
@@ -144,7 +144,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
                 ids = t.column("id").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[root]), pa.array(links)], names=["a", "b", "links"])
 
-    found = stash(met.join(index, "id").repartition("unit").sortWithinPartitions("unit").select("unit", "id", "last", "side", "need", "pivots", "v", "copies").mapInArrow(verify, "a long, b long, links long"), "near")
+    found = stash(met.join(index, "id").repartition("unit").sortWithinPartitions("unit").select("unit", "id", "last", "side", "need", "pivots", "v", "copies").mapInArrow(lean(verify), "a long, b long, links long"), "near")
     linked = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     graph = components(found.select("a", "b"), "near")
     named = classes.join(graph.withColumnRenamed("node", "id"), "id", "left").join(linked, "id", "left")

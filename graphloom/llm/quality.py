@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import textkit as tk
-from graphloom.llm.common import gathered, prepare, stash
+from graphloom.llm.common import gathered, lean, prepare, stash
 
 LOG_VOCAB, DIMS, REACH, NONZERO = 14, 64, 2, 2
 FEATURES = 2 * DIMS + 1
@@ -97,7 +97,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 n += np.frombuffer(y.as_buffer(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([s.tobytes()]), pa.array([n.tobytes()])], names=["seg", "sums", "n"])
 
-    made = gathered(docs.select("text")).mapInArrow(count, "seg int, sums binary, n binary")
+    made = gathered(docs.select("text")).mapInArrow(lean(count), "seg int, sums binary, n binary")
     sums, n = np.zeros((vocab, DIMS)), np.zeros(vocab)
     for r in made.groupBy("seg").applyInArrow(merge, "seg int, sums binary, n binary").toLocalIterator():
         sums[r[0] * seg : (r[0] + 1) * seg] = np.frombuffer(r[1], np.int64).reshape(seg, DIMS)
@@ -136,7 +136,7 @@ def features(docs: DataFrame, vectors: np.ndarray, key: str) -> DataFrame:
                 xs += [r.tobytes() for r in pooled(*tokens(data[off[i] : off[j]], off[i : j + 1] - off[i]), v)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(xs, pa.binary())], names=schema.names)
 
-    return docs.select(key, "text").mapInArrow(run, schema)
+    return docs.select(key, "text").mapInArrow(lean(run), schema)
 
 
 class Network:
@@ -215,4 +215,4 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
             m = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, FEATURES).astype(np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.score(m))], names=schema.names)
 
-    return x.mapInArrow(apply, schema).select(key, out.alias("held_out"), "score")
+    return x.mapInArrow(lean(apply), schema).select(key, out.alias("held_out"), "score")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import textkit as tk
-from graphloom.llm.common import discard, groups, join_split, prepare, stash
+from graphloom.llm.common import discard, groups, join_split, lean, prepare, stash
 
 LENGTH = 200
 #: Contexts that share a seed and are ordered in one task, at most (about 350 bytes each).
@@ -200,7 +200,7 @@ def by_bands(contexts: DataFrame, length: int) -> DataFrame:
             at = pa.array(np.concatenate(row or [np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(band or [np.zeros(0, np.int64)]).astype(np.int16)), pa.array(np.concatenate(stretch or [np.zeros(0, np.int64)]))], names=["seed", "ctx", "band", "stretch"])
 
-    cut_up = stash(contexts.mapInArrow(bands, "seed long, ctx long, band short, stretch long"), "bands")
+    cut_up = stash(contexts.mapInArrow(lean(bands), "seed long, ctx long, band short, stretch long"), "bands")
     live = twice(cut_up, "seed", "band", "stretch").groupBy("seed", "ctx").agg(F.collect_set("band").alias("bands"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +215,7 @@ def by_bands(contexts: DataFrame, length: int) -> DataFrame:
             at = pa.array(np.concatenate(row or [np.zeros(0, np.int64)]))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(dist or [np.zeros(0, np.int64)]).astype(np.int16)), pa.array(np.concatenate(w or [np.zeros(0, np.int64)]))], names=["seed", "ctx", "a", "w"])
 
-    fine = stash(contexts.join(live.hint("merge"), ["seed", "ctx"]).select("seed", "ctx", "left", "right", "bands").mapInArrow(windows, "seed long, ctx long, a short, w long"), "windows")
+    fine = stash(contexts.join(live.hint("merge"), ["seed", "ctx"]).select("seed", "ctx", "left", "right", "bands").mapInArrow(lean(windows), "seed long, ctx long, a short, w long"), "windows")
     discard(cut_up)
     return twice(fine, "seed", "w").select("seed", "ctx", "a")
 
@@ -238,7 +238,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH) -
                 if p := phrases(data[off[i] : off[j]], off[i : j + 1] - off[i], length):
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + p["row"])), *(pa.array(p[k]) for k in ("s0", "n", "d", "seed", "ctx"))], names=["rid", "s0", "n", "d", "seed", "ctx"])
 
-    occ = stash(named.select("rid", "text").mapInArrow(parse, "rid binary, s0 int, n int, d int, seed long, ctx long"), "parse")
+    occ = stash(named.select("rid", "text").mapInArrow(lean(parse), "rid binary, s0 int, n int, d int, seed long, ctx long"), "parse")
     shared = occ.groupBy("seed").agg(F.count("*").alias("c"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("c > 1")
     shared = stash(shared.select("seed", (F.col("lo") != F.col("hi")).alias("mixed"), "c"), "shared")
     active = stash(join_split(occ, shared, ["seed"], "c").drop("c"), "active")
@@ -260,7 +260,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH) -
                 names=["seed", "ctx", "left", "right"],
             )
 
-    spelled = stash(named.select("rid", "text").join(each.hint("merge"), "rid").mapInArrow(spell, "seed long, ctx long, left binary, right binary"), "contexts")
+    spelled = stash(named.select("rid", "text").join(each.hint("merge"), "rid").mapInArrow(lean(spell), "seed long, ctx long, left binary, right binary"), "contexts")
     crowded = hot.limit(1).count() > 0
     calm = spelled.join(hot, "seed", "left").where("hot is null").drop("hot") if crowded else spelled
 
@@ -270,7 +270,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH) -
             k, a = repeated(t.column("seed").to_numpy(), *raw, length)
             yield pa.RecordBatch.from_arrays([t.column("seed").combine_chunks().take(pa.array(k)), t.column("ctx").combine_chunks().take(pa.array(k)), pa.array(a)], names=["seed", "ctx", "a"])
 
-    fine = calm.repartition("seed").sortWithinPartitions("seed").mapInArrow(order, "seed long, ctx long, a short")
+    fine = calm.repartition("seed").sortWithinPartitions("seed").mapInArrow(lean(order), "seed long, ctx long, a short")
     if crowded:
         fine = fine.union(by_bands(spelled.join(hot.hint("merge"), "seed", "left_semi"), length))
     some = fine.groupBy("seed", "ctx").agg(F.collect_set("a").alias("a"))
@@ -309,4 +309,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", length: int = LENGTH) -
                 [b.column(0), pa.array(size, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=schema.names
             )
 
-    return named.join(lose.hint("merge"), "rid", "left").select(key, "text", "lose").mapInArrow(cut, schema)
+    return named.join(lose.hint("merge"), "rid", "left").select(key, "text", "lose").mapInArrow(lean(cut), schema)
