@@ -22,7 +22,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 SUFFIXES = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 #: Pre-tokens remembered between batches; a full memory is emptied, which only costs time.
-MEMO = 600_000
+MEMO = 150_000
 
 
 def char_class(c: int) -> int:
