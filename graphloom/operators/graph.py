@@ -177,29 +177,34 @@ def impact_summary(functions: DataFrame, calls: DataFrame, edges: DataFrame, sym
     return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
+def union_sizes(rows: DataFrame, member: str, sets: DataFrame) -> DataFrame:
+    """(names, n): how many distinct members any name of a set has, of rows (callee, member).
+
+    A name's members are bitmaps of 32768 numbered members each, so a set of names costs a
+    few bitmaps and not all its members' rows.
+    """
+    ids = write_table(rows.select(member).distinct().withColumn("id", F.monotonically_increasing_id() + 1), "members")
+    d = rows.select("callee", member).distinct().join(ids, member)
+    maps = d.groupBy("callee", F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+    met = sets.select("names", F.explode("names").alias("callee")).join(maps, "callee")
+    return met.groupBy("names", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n")).groupBy("names").agg(F.sum("n").alias("n"))
+
+
 def file_impact(functions: DataFrame, calls: DataFrame, edges: DataFrame) -> DataFrame:
     """For each file: functions, distinct callers by resolved calls and by symbol name from
     outside of the file, and whether it is safe to move.
 
     Files with the same set of function names have the same callers by name but for their
-    own: callers are counted once for each set, from a count for each name where the set
-    is one name, and each file's own callers are taken off.
+    own: callers are counted once for each set, and each file's own callers are taken off.
     """
     own = functions.select(F.col("uid").alias("dst"), "file_uid")
     src = functions.select(F.col("uid").alias("src"), F.col("file_uid").alias("from_file"))
     by_edge = edges.join(own, "dst").join(src, "src").where("from_file <> file_uid").groupBy("file_uid").agg(F.count_distinct("src").alias("callers"))
 
     files = functions.groupBy("file_uid").agg(F.count("*").alias("functions"), F.array_sort(F.collect_set("name")).alias("names"))
-    made = calls.join(src, "src").select("callee", "src", "from_file").distinct()
-
-    def counted(d: DataFrame, key: str) -> DataFrame:
-        # a caller lies in one file, so its files are counted on the way
-        return d.groupBy(key, "from_file").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum("n").alias("all_callers"), F.count("*").alias("all_files"))
-
-    one = counted(made, "callee").select(F.array("callee").alias("names"), "all_callers", "all_files")
-    sets = files.where(F.size("names") > 1).select("names").distinct()
-    several = made.join(sets.select("names", F.explode("names").alias("callee")), "callee").select("names", "src", "from_file").distinct()
-    total = one.union(counted(several, "names"))
+    made = write_table(calls.join(src, "src").select("callee", "src", "from_file").distinct(), "callers")
+    sets = files.select("names").distinct()
+    total = union_sizes(made, "src", sets).withColumnRenamed("n", "all_callers").join(union_sizes(made, "from_file", sets).withColumnRenamed("n", "all_files"), "names")
     inside = made.join(functions.select(F.col("file_uid").alias("from_file"), F.col("name").alias("callee")).distinct(), ["from_file", "callee"])
     inside = inside.groupBy(F.col("from_file").alias("file_uid")).agg(F.count_distinct("src").alias("own_callers"))
     zero = F.lit(0).cast("long")
