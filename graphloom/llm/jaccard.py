@@ -165,8 +165,8 @@ def compare(t: pa.Table, threshold: float) -> tuple[list[int], list[int], np.nda
     np.fill_diagonal(link, False)
     side = t.column("side").to_numpy()
     count = link.copy()
-    if side[0] >= 0:  # two blocks of a dense group: only across, or all of one block
-        if (side == 0).any() and (side == 1).any():
+    if side[0] >= 0:  # of a group: two blocks, one of which may be empty, only across; or one block
+        if side[0] < 2:
             link &= side[:, None] != side[None, :]
         count = link
     else:
@@ -325,7 +325,7 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
 
     block = F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int")
     paired = dense.select("sid", "dense", block.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    paired = paired.select("sid", F.xxhash64("dense", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    paired = paired.select("sid", F.xxhash64("dense", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"))
     units = leaves.select("sid", F.col("k").alias("unit"), F.lit(-1).alias("side")).union(paired)
     work = units.join(full.hint("merge"), "sid").select("unit", "side", "sid", "keys", "dense", "copies", "tokens")
 

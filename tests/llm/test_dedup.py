@@ -58,6 +58,14 @@ def test_jaccard_large_group_goes_through_blocks(spark, monkeypatch):
     assert got == brute_links(rows)
 
 
+def test_jaccard_groups_of_long_sets_have_empty_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MASS", 60)  # a block for each set, on average
+    base = [f"w{i}" for i in range(100)]
+    rows = [(k, " ".join(base[:k] + [f"new{k}"] + base[k + 1 :])) for k in (5, 95, 100)]
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_links(rows)
+
+
 def test_keep_one(docs):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
