@@ -16,11 +16,12 @@ with 512 pivots, 0.97 with 4096; from 0.97 on above 0.99.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,13 +76,69 @@ def compare(t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.n
     x = unit_rows(t.column("v").take(pa.array(use)).to_pylist())
     link = (x @ x.T >= threshold) & least[of[use]][:, of[use]]
     np.fill_diagonal(link, False)
-    if (side == 0).any() and (side == 1).any():
+    if side[0] < 2:  # two blocks, one of which may be empty: only across
         link &= side[use][:, None] != side[use][None, :]
     copies = t.column("copies").to_numpy()[use]
     some = np.flatnonzero(link.any(1))
     return use[some], use[roots(link)[some]], (link.astype(np.int64) @ copies)[some]
 
 
+#: Lists of at most so many vectors are compared many at a time.
+SHORT = 24
+#: Vectors of short lists that are compared at a time, at least.
+BATCH = 20_000
+
+
+def compare_short(t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``compare`` of many whole lists in one table, sorted by list: pairs are only formed
+    within a list."""
+    unit, copies = t.column("unit").to_numpy(), t.column("copies").to_numpy()
+    n = len(unit)
+    first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+    size = np.diff(np.append(first, n))
+    later = np.repeat(first + size, size) - np.arange(n) - 1  # rows behind each in its list
+    raw = t.column("v").combine_chunks()
+    length = pc.binary_length(raw).to_numpy(zero_copy_only=False)
+    out_a, out_b = [], []
+    pivots, last, need = t.column("pivots").combine_chunks(), t.column("last").to_numpy(), t.column("need").to_numpy()
+    for d in np.unique(length).tolist():  # a list's vectors have one length
+        rows = np.flatnonzero(length == d)
+        x = unit_rows(raw.take(pa.array(rows)).to_pylist())
+        at = np.zeros(n, np.int64)
+        at[rows] = np.arange(len(rows))
+        for lo in range(0, len(rows), 4096):
+            r = rows[lo : lo + 4096]
+            a = np.repeat(r, later[r])
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later[r]) - later[r], later[r])
+            near = np.einsum("ij,ij->i", x[at[a]], x[at[b]]) >= threshold
+            out_a.append(a[near])
+            out_b.append(b[near])
+    a, b = np.concatenate(out_a or [np.zeros(0, np.int64)]), np.concatenate(out_b or [np.zeros(0, np.int64)])
+    if len(a):  # no common pivot but the list's own up to its last
+        width = int(pivots.value_lengths().to_numpy().max())
+        p = np.full((n, width), -1, np.int64)
+        lens = pivots.value_lengths().to_numpy()
+        k = np.repeat(np.arange(n), lens)
+        p[k, np.arange(len(k)) - np.repeat(np.cumsum(lens) - lens, lens)] = pivots.flatten().to_numpy()
+        both = ((p[a][:, :, None] == p[b][:, None, :]) & (p[a] >= 0)[:, :, None] & (p[a] <= last[a][:, None])[:, :, None]).sum((1, 2))
+        ok = both == need[a]
+        a, b = a[ok], b[ok]
+    links = np.zeros(n, np.int64)
+    np.add.at(links, a, copies[b])
+    np.add.at(links, b, copies[a])
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    some = np.flatnonzero(links)
+    return some, label[some], links[some]
+
+
 def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", threshold: float = 0.95, nearest: int = NEAREST, shared: int = SHARED, most_pivots: int = MOST_PIVOTS) -> DataFrame:
     """(key, n_links, component_id) for every row: other rows with a cosine of at least
     ``threshold`` that the index retrieves, and the smallest key reachable by links.
@@ -134,15 +191,28 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
     met = lists.join(counted, "unit").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select(
         "id", F.when(F.col("blocks") == 1, F.col("unit")).otherwise(F.xxhash64("unit", F.least("own", "other"), F.greatest("own", "other"))).alias("unit"),
-        "last", (F.col("own") > F.col("other")).cast("int").alias("side"),
+        "last", F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"),
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(t: pa.Table, how: Callable) -> pa.RecordBatch:
+            at, root, links = how(t, threshold)
+            ids = t.column("id").to_numpy()
+            return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[root]), pa.array(links)], names=["a", "b", "links"])
+
+        short: list[pa.Table] = []
+        rows = 0
         for t in groups(batches, "unit"):
-            if t.num_rows > 1:
-                at, root, links = compare(t, threshold)
-                ids = t.column("id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[root]), pa.array(links)], names=["a", "b", "links"])
+            if t.num_rows > SHORT or t.column("side")[0].as_py() < 2:
+                yield linked(t, compare)
+            elif t.num_rows > 1:
+                short.append(t)
+                rows += t.num_rows
+                if rows >= BATCH:
+                    yield linked(pa.concat_tables(short), compare_short)
+                    short, rows = [], 0
+        if short:
+            yield linked(pa.concat_tables(short), compare_short)
 
     found = stash(met.join(index, "id").repartition("unit").sortWithinPartitions("unit").select("unit", "id", "last", "side", "need", "pivots", "v", "copies").mapInArrow(lean(verify), "a long, b long, links long"), "near")
     linked = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))

@@ -267,8 +267,11 @@ def test_vectors_of_every_length_are_compared(spark):
     assert {(7, 2, 7), (50, 2, 7)} <= got
 
 
-def test_links_near_the_threshold_alone(spark, monkeypatch):
+@pytest.mark.parametrize("short", [0, 24])
+def test_links_near_the_threshold_alone(spark, monkeypatch, short):
     monkeypatch.setattr(pivots, "BLOCK", 4)
+    monkeypatch.setattr(pivots, "SHORT", short)
+    monkeypatch.setattr(pivots, "BATCH", 50)
     rng = np.random.default_rng(9)
     unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
     x = unit(rng.normal(size=(400, 64)))
@@ -282,6 +285,13 @@ def test_links_near_the_threshold_alone(spark, monkeypatch):
     assert met >= 0.95 * 400
 
 
+def test_blocks_of_few_vectors_count_each_link_once(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "BLOCK", 1)  # some blocks are empty
+    rows = [(k, [1.0, 0.001 * k, 0.0]) for k in range(7)]
+    got = pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(k, 6, 0) for k in range(7)}
+
+
 def test_near_vectors(spark, monkeypatch):
     monkeypatch.setattr(pivots, "BLOCK", 16)
     rng = np.random.default_rng(2)
