@@ -9,8 +9,10 @@ pairs far below the threshold; any other is split again by the next level's pick
 which there are ``rate`` / threshold for a set, and its parts are treated alike. A split
 multiplies the pairs that meet by about rate / threshold times their mean similarity, so
 a dense bucket, where that is 1 or more (told by the sketches), is brute-forced, and so is
-what is neither small nor dense after ``DEPTH`` levels. ``runs`` repetitions give the
-target recall: a pair at the threshold meets in one run with probability 1 - 1/e, and with
+what is neither small nor dense after ``DEPTH`` levels. A passage shared by many sets puts
+the same sets into a bucket for each of its picked tokens; of large buckets of one run with
+the same sets, one goes on, as the others would only repeat its pairs and its parts.
+``runs`` repetitions give the target recall: a pair at the threshold meets in one run with probability 1 - 1/e, and with
 92 % of that at each further level, so twelve runs find 99.999 % of pairs in buckets that
 are small or dense at once, and 99.97 % of those split down to the last level.
 
@@ -187,6 +189,13 @@ def compare(t: pa.Table, threshold: float) -> tuple[list[int], list[int], np.nda
     return some.tolist(), roots(link)[some].tolist(), (count.astype(np.int64) @ copies)[some]
 
 
+def unlike(met: DataFrame) -> DataFrame:
+    """Keys of ``met`` (sid, k), one for all buckets of a run with the same sets: these hold the
+    same pairs, and their parts would be the same at every further level."""
+    names = met.groupBy("k").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sid")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("m2"))
+    return names.groupBy(F.col("k").bitwiseAND(F.lit(15).cast("long")).alias("run"), "c", "m1", "m2").agg(F.min("k").alias("k")).select("k")
+
+
 def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: float = 0.8, runs: int = RUNS) -> DataFrame:
     """(key, class_id, n_links) for every row of ``docs``.
 
@@ -259,7 +268,9 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
         leaves.append(stash(paths.join(held, "k", "left_anti").join(sizes.where(~crowded).select("k").hint("merge"), "k", "left_semi").select("sid", "k"), "small"))
         if not many:
             break
-        big = stash(paths.join(held, "k").select("sid", "size", "k"), "large")
+        every = stash(paths.join(held, "k").select("sid", "size", "k"), "large")
+        single = stash(unlike(every), "unlike")
+        big = every.join(F.broadcast(single) if many <= BROADCAST_KEYS else single, "k", "left_semi")
         drawn = big.join(classes.select("sid", "sketch").hint("merge"), "sid")
         centers = drawn.groupBy("k").agg(F.min(F.struct("sid", "sketch")).alias("x"), F.max(F.struct("sid", "sketch")).alias("y"))
         centers = centers.select("k", F.col("x.sid").alias("center"), F.col("x.sketch").alias("s1"), F.col("y.sketch").alias("s2"))
@@ -288,7 +299,7 @@ def jaccard_links(docs: DataFrame, key: str = "doc_id", n: int = 5, threshold: f
         each = rest.groupBy("sid", "size").agg(F.collect_list("k").alias("ks")).join(deep.select("sid", F.col(f"p{level + 1}").alias("p")).hint("merge"), "sid")
         child = F.flatten(F.transform("ks", lambda k: F.transform(F.filter("p", lambda p: p.bitwiseAND(run) == k.bitwiseAND(run)), lambda p: F.xxhash64(k, p).bitwiseAND(F.lit(-16).cast("long")).bitwiseOR(k.bitwiseAND(run)))))
         paths = stash(each.select("sid", "size", F.explode(child).alias("k")), "paths")
-        for done in (sizes, big, seen, centers):
+        for done in (sizes, every, single, seen, centers):
             discard(done)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
