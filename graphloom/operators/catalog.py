@@ -25,9 +25,11 @@ def churn_hotspots(stats: DataFrame, churn: DataFrame, top: int = 25) -> DataFra
 
 
 def file_stats(functions: DataFrame, edges: DataFrame) -> DataFrame:
-    """(project, rel_path, functions, edges) for each file: edges leave its functions."""
+    """(project, rel_path, functions, edges) for each file: edges leave its functions; a row
+    of edges may stand for ``n`` of them."""
+    edges = edges.select("src", (F.col("n") if "n" in edges.columns else F.lit(1)).cast("long").alias("w"))
     f = functions.groupBy("project", "rel_path").agg(F.count("*").alias("functions"))
-    e = edges.join(functions.select(F.col("uid").alias("src"), "project", "rel_path"), "src").groupBy("project", "rel_path").agg(F.count("*").alias("edges"))
+    e = edges.join(functions.select(F.col("uid").alias("src"), "project", "rel_path"), "src").groupBy("project", "rel_path").agg(F.sum("w").alias("edges"))
     return f.join(e, ["project", "rel_path"], "left").withColumn("edges", F.coalesce("edges", F.lit(0).cast("long")))
 
 

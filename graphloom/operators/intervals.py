@@ -41,10 +41,12 @@ def inside(spans: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def cfg_complexity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(span, complexity): max(1, E - N + 2) over nodes (node, span) and edges (src); 1
-    without nodes."""
+    """(span, complexity): max(1, E - N + 2) over nodes (node, span) and edges (src), where a
+    row may stand for ``n`` edges; 1 without nodes."""
+    rows = F.sum("w")
+    edges = edges.select("src", (F.col("n") if "n" in edges.columns else F.lit(1)).cast("long").alias("w"))
     n = nodes.groupBy("span").agg(F.count("*").alias("n"))
-    e = edges.join(nodes.select(F.col("node").alias("src"), "span"), "src").groupBy("span").agg(F.count("*").alias("e"))
+    e = edges.join(nodes.select(F.col("node").alias("src"), "span"), "src").groupBy("span").agg(rows.alias("e"))
     return n.join(e, "span", "left").select("span", F.greatest(F.lit(1).cast("long"), F.coalesce("e", F.lit(0)) - F.col("n") + 2).alias("complexity"))
 
 

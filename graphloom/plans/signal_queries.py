@@ -8,6 +8,7 @@ from graphloom.functions import text as X
 from graphloom.operators import extract as E
 from graphloom.operators import graph as G
 from graphloom.operators import incremental as I
+from graphloom.operators import links as L
 from graphloom.operators import search as S
 from graphloom.operators import semantic as M
 from graphloom.operators import signals as N
@@ -35,7 +36,7 @@ def intelligence_summary(t):
 
 @query("SELECT project, name, count(*) AS fan_in FROM edges JOIN fn ON fn.uid = edges.dst GROUP BY 1, 2 ORDER BY fan_in DESC, project, name LIMIT 20", W1)
 def most_called(t):
-    return G.most_called(t.functions(), t.edges())
+    return L.most_called(t.links())
 
 
 @query("SELECT callee AS shared_symbol FROM calls JOIN fn ON fn.uid = calls.src WHERE project IN ('{A}', '{B}') GROUP BY 1 HAVING count(DISTINCT project) = 2 ORDER BY 1 LIMIT 50", W1)
@@ -56,7 +57,7 @@ def function_listing(t):
 
 @query("SELECT (SELECT count(*) FROM fn) AS total_nodes, 'Function' AS node_types, (SELECT count(*) FROM edges) AS total_relationships, 'CALLS_FUNCTION' AS relationship_types", W1)
 def result_stats(t):
-    return G.result_stats(t.functions().withColumn("label", F.lit("Function")), t.edges().withColumn("type", F.lit("CALLS_FUNCTION")))
+    return G.result_stats(t.functions().withColumn("label", F.lit("Function")), t.links().links.select(F.lit("CALLS_FUNCTION").alias("type"), "n"))
 
 
 @query("SELECT uid, max(h)::BIGINT AS depth FROM walk GROUP BY 1", "inh AS (SELECT p_partkey AS src, p_partkey // 3 AS dst FROM part WHERE p_partkey > 2 UNION ALL SELECT p_partkey, p_partkey // 5 FROM part WHERE p_partkey > 4), walk(uid, h) AS (SELECT dst, 0 FROM inh UNION SELECT src, 1 FROM inh UNION SELECT i.src, w.h + 1 FROM walk w JOIN inh i ON i.dst = w.uid WHERE w.h > 0)")
@@ -68,12 +69,13 @@ def inheritance_depth(t):
 
 @query("SELECT e.src, e.dst FROM edges e JOIN fn a ON a.uid = e.src AND a.line % 2 = 0 JOIN fn b ON b.uid = e.dst AND b.line % 2 = 0 UNION ALL SELECT e.src, e.dst FROM edges e JOIN fn a ON a.uid = e.src AND a.line % 2 = 0 JOIN fn b ON b.uid = e.dst AND b.line % 2 = 0", W1)
 def create_edges(t):
-    return I.create_edges(t.edges().union(t.edges()), t.functions().where("line % 2 = 0"))
+    e = t.links().pairs(t.functions().where("line % 2 = 0"))
+    return e.union(e)
 
 
 @query("SELECT uid FROM (SELECT src AS uid FROM edges UNION SELECT dst FROM edges) WHERE uid NOT IN (SELECT uid FROM fn WHERE line % 3 > 0)", W1)
 def ghost_nodes(t):
-    return I.ghost_nodes(t.functions().where("line % 3 > 0"), t.edges())
+    return t.links().ends().join(t.functions().where("line % 3 > 0").select("uid"), "uid", "left_anti")
 
 
 @query("SELECT 'node:Function:' || uid AS identity, sha256('{\"name\":\"' || name || '\",\"uid\":\"' || uid || '\"}') AS hash FROM fn", W1)
