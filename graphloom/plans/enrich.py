@@ -84,11 +84,10 @@ def intelligence(files: DataFrame, file_similarity: float = 0.65, function_simil
     sites = info.select(F.col("uid").alias("src"), F.explode("calls").alias("callee"))
     calls = N.call_rows(sites, info.select("uid", "name", F.col("rel_path").alias("file_uid")))
     complexity = N.complexity_rows(info)
-    items = info.select(F.col("uid").alias("id"), "body_hash", "tokens").dropDuplicates(["id"])
-    met = Y.candidates(write_table(Y.signatures(items.where(F.size("tokens") > 0)), "signatures"))
-    functions = Y.function_pairs(items, met, function_similarity, most_functions)
+    items = write_table(info.select(F.col("uid").alias("id"), "body_hash", "tokens").dropDuplicates(["id"]), "items")
+    functions = Y.function_pairs(items, function_similarity, most_functions)
     sets = write_table(info.groupBy(F.col("rel_path").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens")), "tokens")
-    near = Y.jaccard(Y.candidates(write_table(Y.signatures(sets.where(F.size("tokens") > 0)), "signatures")), sets, file_similarity)
+    near = Y.similar_pairs(sets, file_similarity)
     pairs = Y.ranked(near.withColumn("evidence", F.lit("token_jaccard")), most_files)
     depth = G.longest_depth(calls.where("callee_uid <> ''").select(F.col("caller_uid").alias("src"), F.col("callee_uid").alias("dst")))
     summary = N.summary(dependencies, calls, complexity, threshold).crossJoin(depth.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("max_call_chain_depth")))  # one row each
