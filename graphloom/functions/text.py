@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Call keywords of the two rule sets, and the rules' patterns.
@@ -134,8 +134,9 @@ def summary(name: Column, doc: Column, text: Column, n: int = 20) -> Column:
 def numstat(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, rel_path, commits, added, removed) of version-control text: lines
     added\\tremoved\\tpath under COMMIT sentinels; '-' is 0, shorter lines are skipped."""
-    w = Window.partitionBy(key).orderBy("line_no")
-    d = lines(df, key, text=text).withColumn("commit", F.sum((F.trim("line") == "COMMIT").cast("int")).over(w))
+    # a text is cut at its sentinels, so a part's position is the number of those before it
+    parts = df.select(key, F.posexplode(F.split(text, r"(?:\A|\n) *COMMIT *(?=\n|\z)")).alias("commit", "_t"))
+    d = parts.select(key, "commit", F.explode(F.split("_t", "\n")).alias("line"))
     p = F.split("line", "\t")
     d = d.where(F.size(p) >= 3).select(key, "commit", F.replace(p[2], F.lit("\\"), F.lit("/")).alias("rel_path"), *(F.coalesce(F.try_to_number(F.nullif(p[i], F.lit("-")), F.lit("999999999999")), F.lit(0)).cast("long").alias(n) for i, n in ((0, "added"), (1, "removed"))))
     return d.groupBy(key, "rel_path").agg(F.count_distinct("commit").alias("commits"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))

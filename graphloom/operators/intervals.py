@@ -61,7 +61,7 @@ def resolve_unique(calls: DataFrame, functions: DataFrame) -> DataFrame:
     the caller's project; the uid only if exactly one has."""
     known = functions.groupBy("project", F.col("name").alias("callee")).agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
     src = functions.select(F.col("uid").alias("src"), "project")
-    d = calls.join(src, "src").join(known, ["project", "callee"], "left")
+    d = calls.join(src.hint("merge"), "src").join(known, ["project", "callee"], "left")
     return d.select("src", "callee", F.col("n").isNotNull().cast("int").alias("is_internal"), F.when(F.col("n") == 1, F.col("uid")).alias("callee_uid"))
 
 
